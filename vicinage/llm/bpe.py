@@ -21,7 +21,7 @@ from vicinage.llm.pretoken import Pieces, encode_texts
 
 INF = np.int64(1) << np.int64(62)
 #: Unicode White_Space, which is what ``\s`` means to the library whose splits are matched.
-WHITE = r"\t-\r\x20\x85\xa0  -     　"
+WHITE = r"\t-\r\x20\x85\xa0" + "".join(map(chr, (0x1680, 0x2000))) + "-" + "".join(map(chr, (0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 class Ranks:

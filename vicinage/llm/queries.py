@@ -4,9 +4,39 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vicinage.llm import bpe, packing
-from vicinage.llm.common import table
+from vicinage.llm import bpe, html, neardup, packing, pii, secrets, vectors
+from vicinage.llm.common import Scratch, table
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.top_k(spark, rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), Scratch(spark, "pii").save)
+    base = F.filter("spans", lambda x: x["kind"] < len(pii.BASE))
+    kinds = F.transform("spans", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(spark, table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op7_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark, table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +47,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op8_bpe": op8_bpe, "op10_packing": op10_packing}
+QUERIES = {"op1_topk": op1_topk, "op2_html": op2_html, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op6_minhash": op6_minhash, "op7_cosine": op7_cosine, "op8_bpe": op8_bpe, "op10_packing": op10_packing}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op7_cosine": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.q, b.q) >= 0.9),
+c AS (
+  WITH RECURSIVE w(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT w.id, e.b FROM w JOIN e ON e.a = w.reach)
+  SELECT id, min(reach) AS component_id FROM w GROUP BY id)
+SELECT t.vec_id, (SELECT count(*) FROM e WHERE e.a = t.vec_id) AS n_links, c.component_id, t.vec_id = c.component_id AS kept
+FROM embeddings t JOIN c ON c.id = t.vec_id
+""",
+}
