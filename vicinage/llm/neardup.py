@@ -201,6 +201,27 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     return known.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_ids: int = 2_000_000, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that have a near-duplicate of smaller id.
+
+    Of rows that repeat an id the one with the longest text stays (then the greatest row); rows of null id all
+    stay. Only ids to drop are joined to the texts: by broadcast up to ``small_ids`` of them, else by a shuffle.
+    """
+    scratch = Scratch(spark, "oneofeach")
+    found = scratch.save(components(spark, docs, id_col, text_col, small_ids=small_ids, **options).select(F.col(id_col).alias("_id"), "kept"), "kept")
+    per = found.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    drop, again = (scratch.save(x.select("_id"), n) for x, n in ((per.where("not kept"), "drop"), (per.where("kept and n > 1"), "again")))
+    few = lambda x: F.broadcast(x) if x.count() <= small_ids else x
+    key = F.col(id_col).cast("long") == F.col("_id")
+    left = docs.join(few(drop), key, "left_anti")
+    if again.isEmpty():
+        return left
+    once = left.join(few(again), key, "left_semi")
+    row = F.struct(F.length(F.coalesce(text_col, F.lit(""))).alias("_n"), *(F.col(f"`{c}`") for c in docs.columns))
+    once = once.groupBy(F.col(id_col).alias("_key")).agg(F.max(row).alias("_r")).select(*(F.col(f"_r.`{c}`").alias(c) for c in docs.columns))
+    return left.join(few(again), key, "left_anti").unionByName(once)
+
+
 def leftovers(large: DataFrame, parts: DataFrame, block: int) -> DataFrame:
     """Members of large buckets dealt to pairs of blocks that may still hold unlinked pairs: g1, g2, g3, rep.
 
@@ -222,10 +243,6 @@ def leftovers(large: DataFrame, parts: DataFrame, block: int) -> DataFrame:
     return placed.join(pairs, ["band", "hash", "c", "p"]).select(F.xxhash64("band", "hash").alias("g1"), "g2", "g3", "rep")
 
 
-def signature_values(bands: int) -> int:
-    return bands * ROWS
-
-
 def miss_rate(similarity: float, bands: int) -> float:
     """Probability that a pair of that similarity shares no band."""
     return math.pow(1 - similarity**ROWS, bands)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinage.llm import bpe, html, neardup, packing, pii, secrets, vectors
+from vicinage.llm import bpe, html, neardup, packing, pii, quality, secrets, toxicity, vectors
 from vicinage.llm.common import Scratch, table
 
 
@@ -31,6 +31,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.components(spark, table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -43,11 +48,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_html": op2_html, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op6_minhash": op6_minhash, "op7_cosine": op7_cosine, "op8_bpe": op8_bpe, "op10_packing": op10_packing}
+QUERIES = {"op1_topk": op1_topk, "op2_html": op2_html, "op3_pii": op3_pii, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_minhash": op6_minhash, "op7_cosine": op7_cosine, "op8_bpe": op8_bpe, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
