@@ -1,0 +1,11 @@
+"""Declared schemas of the records that cross a boundary."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+POINT = T.StructType([T.StructField("e", T.DoubleType()), T.StructField("n", T.DoubleType())])
+GEO_QUERY = T.StructType([T.StructField("qid", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("lat0", "lon0", "radius_m"))])
+RAW_CAPTURE = T.StructType([T.StructField("arrival", T.LongType()), T.StructField("raw_id", T.StringType()), T.StructField("qid", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in ("lat", "lon", "compass")), T.StructField("captured_ms", T.LongType()), T.StructField("sequence_id", T.LongType())])
+BUILDING = T.StructType([T.StructField("qid", T.IntegerType()), T.StructField("osm_id", T.LongType()), T.StructField("footprint", T.ArrayType(POINT)), T.StructField("height_m", T.DoubleType()), T.StructField("height_source", T.StringType()), T.StructField("building_type", T.StringType())])
+IMAGE = T.StructType([T.StructField("qid", T.IntegerType()), T.StructField("image_id", T.StringType()), T.StructField("e", T.DoubleType()), T.StructField("n", T.DoubleType()), T.StructField("compass_deg", T.DoubleType()), T.StructField("captured_at", T.TimestampType()), T.StructField("thumb_url", T.StringType()), T.StructField("thumb_path", T.StringType()), T.StructField("rank", T.IntegerType())])
