@@ -28,7 +28,7 @@ FUNCTION_WORDS = {
 }
 PREFIXES = (3, 4, 5)
 WIDTHS = (1, 2, 3)
-PAD = max(WIDTHS) - 1
+PAD = max(WIDTHS)
 
 
 def language_codes() -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,8 @@ class Net:
     def pooled(self, words: Words) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """(max-pooled filter outputs, outputs per position and width, padded word index, first position of each text).
 
-        Each text is followed by PAD empty words, so that the shortest, and an empty one, has a position.
+        Each text is followed by PAD empty words, so that even an empty text has a position; windows that start
+        further than one empty word behind a text would reach into the next one and don't count.
         """
         n = len(words.counts)
         vectors = np.vstack([self.embed[words.features].sum(1), np.zeros((1, self.embed.shape[1]), np.float32)])
@@ -122,6 +123,8 @@ class Net:
             for k in range(1, len(f)):
                 y += np.take(vectors @ f[k], index[k : total + k], axis=0)
             y += b
+            for k in range(1, PAD):
+                y[first + sizes - k] = -1e30
             outs.append(y)
             pools.append(np.maximum.reduceat(y, first, axis=0) if n else np.zeros((0, f.shape[2]), np.float32))
         return np.maximum(np.hstack(pools), 0), outs, index, first
@@ -266,7 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
         net = train([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
-    return pickle.loads(sample_of(docs, labels, target, per_class, id_col, text_col).repartition(1).mapInArrow(run, "net binary").first()[0])
+    got = sample_of(docs, labels, target, per_class, id_col, text_col).repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(got[0]) if got else train([], np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000) -> DataFrame:
