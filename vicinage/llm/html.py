@@ -20,6 +20,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>"']*(?:"[^"]*"
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>]|\Z)", re.IGNORECASE) for x in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 #: Elements and words in class, id or role that mark what isn't the article.
@@ -41,25 +42,20 @@ class Page:
         self._links, self._in_link = 0, 0
         stack = [0]  # block-level elements that are open
         at = 0
-        raw = ""
-        for m in TAG.finditer(html):
-            if raw and not (m[2] and m[1] and m[2].lower() == raw):
-                continue
-            if not raw and m.start() > at:
+        while m := TAG.search(html, at):
+            if m.start() > at:
                 self._add(html[at : m.start()])
             at = m.end()
             if not m[2]:
                 continue
             name, closing = m[2].lower(), bool(m[1])
-            if raw:
-                raw = ""
-                continue
             if name == "br":
                 self._text.append("\n")
                 continue
             if name in RAW:
                 if not closing and not m[3].endswith("/>"):
-                    raw = name
+                    end = RAW_END[name].search(html, at)
+                    at = end.start() if end else len(html)
                 continue
             if name in INLINE:
                 if name == "a":
@@ -82,7 +78,7 @@ class Page:
                 while self.tag[stack[-1]] in CLOSES[name].split():
                     stack.pop()
             self._open(stack, name, m[3])
-        if not raw and at < len(html):
+        if at < len(html):
             self._add(html[at:])
         self._flush(stack[-1])
 
@@ -165,7 +161,7 @@ def main_blocks(html: str, share: float = 0.8, strength: float = 0.5) -> list[st
             depth = page.path[e].count("/")
             if depth >= deepest:
                 best, deepest = e, depth
-    while page.tag[best] in ("p", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre") and page.parent[best] > 0:
+    while page.tag[best] in ("p", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre") and page.parent[best] >= 0:
         best = page.parent[best]
     holds = [k == best for k in range(len(page.tag))]
     for k in range(len(page.tag)):
