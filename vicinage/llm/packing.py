@@ -3,9 +3,9 @@
 Level 0: every partition tokenizes its documents, cuts what is too long, and packs its own pieces best-fit
 decreasing. Bins that are nearly full stay as they are. The others climb a tree of partitions as single items
 (their fill): each node packs the items of up to ``fan_in`` children best-fit again and passes on what is still
-underfull. The tolerance widens from level to level up to half a sequence; as best fit never leaves two bins that
-are both at most half full, a node of the later levels passes on one bin at most, so no node's input grows with
-the table. Only (bin, fill) pairs move up; texts and ids are never shuffled.
+underfull, the ``carry`` emptiest bins at most (further ones are final as they are), so no node's input grows
+with the table. A partition or node of fewer than ``few`` items leaves them as they are for the node above, since
+what is joined early can't be parted again. Only (bin, fill) pairs move up; texts and ids are never shuffled.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, size) for s in range(first, n, size)]
 
 
-def tokenize_and_pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", flush: int = 200_000) -> DataFrame:
+def tokenize_and_pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", flush: int = 200_000, few: int = 2048) -> DataFrame:
     """Level 0: pieces with their partition's bins. ``fill`` is the bin's fill, on its first piece only.
 
     A partition of more than ``flush`` pieces is packed in several goes, so a worker holds a bounded number.
@@ -109,7 +109,10 @@ def tokenize_and_pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, en
             ids, piece, start, length, crc = zip(*held, strict=True)
             held = []
             lengths = np.asarray(length, np.int64)
-            bins, offsets, fills = best_fit(lengths, size)
+            if len(lengths) < few and not done:
+                bins, offsets, fills = np.arange(len(lengths)), np.zeros(len(lengths), np.int64), lengths
+            else:
+                bins, offsets, fills = best_fit(lengths, size)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, kind), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(base + done + bins), pa.array(offsets), pa.array(np.where(offsets == 0, fills[bins], 0), pa.int64(), mask=offsets != 0)],
                 names=["id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"],
@@ -134,27 +137,32 @@ def tokenize_and_pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, en
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {PIECES}").withColumnRenamed("id", id_col)
 
 
-def merge_level(items: DataFrame, size: int) -> DataFrame:
-    """Pack each node's underfull bins as items: (bin, root, shift, fill), the fill on the bin that leads its new bin."""
+def merge_level(items: DataFrame, size: int, carry: int, few: int) -> DataFrame:
+    """Pack each node's underfull bins as items: (bin, root, shift, fill), the fill on the bin that leads its new bin,
+    and -1 elsewhere and for bins that are final."""
 
     def node(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["bin"].to_numpy()
+        if len(own) < few:
+            return pd.DataFrame({"bin": own, "root": own, "shift": 0, "fill": pdf["fill"]})
         bins, offsets, fills = best_fit(pdf["fill"].to_numpy(), size)
         lead = np.empty(len(fills), np.int64)
         lead[bins[offsets == 0]] = own[offsets == 0]
-        return pd.DataFrame({"bin": own, "root": lead[bins], "shift": offsets, "fill": np.where(offsets == 0, fills[bins], -1)})
+        up = np.zeros(len(fills), bool)
+        up[np.argsort(fills, kind="stable")[:carry]] = True
+        return pd.DataFrame({"bin": own, "root": lead[bins], "shift": offsets, "fill": np.where((offsets == 0) & up[bins], fills[bins], -1)})
 
     return items.groupBy("node").applyInPandas(node, "bin long, root long, shift long, fill long")
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, fan_in: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, fan_in: int = 8, carry: int = 200_000, few: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end token alone; a null id is kept; repeated rows are packed one by one; no rows
     give no rows; other columns are not read.
     """
     scratch = Scratch(spark, "pack")
-    pieces = scratch.save(tokenize_and_pack(docs, tokenizer_path, size, end_id, id_col, text_col), "pieces")
+    pieces = scratch.save(tokenize_and_pack(docs, tokenizer_path, size, end_id, id_col, text_col, few=few), "pieces")
     tolerance, level = size // 32, 0
     items = pieces.where(F.col("fill") <= size - tolerance).select("bin", "fill")
     top = items.agg(F.max(F.shiftright("bin", SHIFT))).first()[0]
@@ -162,7 +170,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, si
     while top is not None:
         level += 1
         top //= fan_in
-        step = scratch.save(merge_level(items.withColumn("node", F.floor(F.shiftright("bin", SHIFT) / F.lit(fan_in**level))), size), f"level{level}")
+        step = scratch.save(merge_level(items.withColumn("node", F.floor(F.shiftright("bin", SHIFT) / F.lit(fan_in**level))), size, carry, few if top else 0), f"level{level}")
         if moved is None:
             moved = step.select("bin", "root", "shift")
         else:
@@ -170,7 +178,6 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, si
             moved = scratch.save(moved.join(up, "root", "left").select("bin", F.coalesce("above", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), f"moved{level}")
         if top == 0:
             break
-        tolerance = min(size // 2, tolerance * 4)
         items = step.where((F.col("fill") >= 0) & (F.col("fill") <= size - tolerance)).select(F.col("root").alias("bin"), "fill")
     out = pieces if moved is None else pieces.join(moved, "bin", "left")
     if moved is None:
