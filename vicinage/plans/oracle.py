@@ -75,8 +75,8 @@ def footprint_ctes() -> list[str]:
 HEIGHT = """height AS (
   SELECT *, CASE WHEN v > 0 AND v <= 1000 THEN v END AS tag_m,
     TRY_CAST(round_even(TRY_CAST(nullif(regexp_extract(lower(levels_tag), '^[ ]*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?)[ ]*$', 1), '') AS DOUBLE), 0) AS INTEGER) AS levels
-  FROM (SELECT *, TRY_CAST(nullif(regexp_extract(lower(height_tag), H, 1), '') AS DOUBLE) * CASE WHEN regexp_extract(lower(height_tag), H, 2) <> '' THEN 0.3048e0 ELSE 1e0 END AS v
-    FROM raw_feature, (SELECT '^[ ]*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?)[ ]*([ft]*''+|[ft]*ft)?[ ]*(m| meters| metres)?[ ]*$' AS H))),
+  FROM (SELECT *, TRY_CAST(nullif(regexp_extract(lower(height_tag), rx_, 1), '') AS DOUBLE) * CASE WHEN regexp_extract(lower(height_tag), rx_, 2) <> '' THEN 0.3048e0 ELSE 1e0 END AS v
+    FROM raw_feature, (SELECT '^[ ]*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:e[+-]?[0-9]+)?)[ ]*([ft]*''+|[ft]*ft)?[ ]*(m| meters| metres)?[ ]*$' AS rx_))),
 height_of AS (
   SELECT *, coalesce(tag_m, CASE WHEN levels > 0 THEN levels * 3.5e0 END) AS height_m,
     CASE WHEN tag_m IS NOT NULL THEN 'tag' WHEN levels > 0 THEN 'levels' ELSE 'none' END AS height_source FROM height)"""
