@@ -191,7 +191,7 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     edges = scratch.save(confirm(keyed.join(sets, "rep"), percent), "edges")
     parts = connected_components(scratch, edges, "rep", "least")
     if any_hot:
-        rest = leftovers(large, parts, block)
+        rest = leftovers(scratch, large, parts, block)
         more = scratch.save(confirm(rest.join(sets, "rep"), percent), "more")
         if not more.isEmpty():
             parts = connected_components(scratch, edges.unionByName(more), "rep", "least")
@@ -222,16 +222,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     return left.join(few(again), key, "left_anti").unionByName(once)
 
 
-def leftovers(large: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+def leftovers(scratch: Scratch, large: DataFrame, parts: DataFrame, block: int) -> DataFrame:
     """Members of large buckets dealt to pairs of blocks that may still hold unlinked pairs: g1, g2, g3, rep.
 
     Inside a bucket, a component of at least ``block`` members gets blocks of its own, all smaller ones share
-    mixed blocks. Two blocks of one and the same component need no comparison.
+    mixed blocks. Two blocks of one and the same component need no comparison. The sizes are tables, so that a
+    component of many members is only a skewed join, which is split.
     """
     member = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("band", "hash", "rep", F.coalesce("component", "rep").alias("c"))
-    per = member.groupBy("band", "hash", "c").count()
+    per = scratch.save(member.groupBy("band", "hash", "c").count(), "per")
     big = per.where(F.col("count") >= block).select("band", "hash", "c", F.ceil(F.col("count") / block).cast("int").alias("k"))
-    small = per.where(F.col("count") < block).groupBy("band", "hash").agg(F.ceil(F.sum("count") / block).cast("int").alias("mixed"))
+    small = scratch.save(per.where(F.col("count") < block).groupBy("band", "hash").agg(F.ceil(F.sum("count") / block).cast("int").alias("mixed")), "mixed")
     placed = member.join(big, ["band", "hash", "c"], "left").join(small, ["band", "hash"], "left")
     pure = F.col("k").isNotNull()
     placed = placed.select("band", "hash", "rep", F.when(pure, F.col("c")).otherwise(F.lit(-1)).alias("c"), F.pmod(F.xxhash64("rep"), F.when(pure, F.col("k")).otherwise(F.col("mixed"))).alias("p"))
