@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from vicinage.llm.common import Scratch, bucket_of_doc, hash_slices, spans_of, text_bytes, words_of
 
 STATS = ("log_chars", "letters", "capitals", "digits", "spaces", "breaks", "stops", "shouts", "bars", "symbols", "foreign", "word_len", "distinct", "top_word", "adjacent", "caps_words", "short_words", "marked_words", "log_words")
+NODES = 8
 _CLASS = np.full(256, 8, np.uint8)  # 8: symbols
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 0, 2, 9
 _CLASS[[32, 9]], _CLASS[[10, 13, 11, 12]] = 3, 4
@@ -126,7 +127,7 @@ def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
 def fit(scratch: Scratch, stats: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", n_features: int = 384, width: float = 2.5, ridge: float = 1e-3, bins: int = 400, seed: int = 3) -> Kernel:
     """Fit on every labelled row outside the held-out fifth; one in four of them only calibrates.
 
-    Only sums come to the driver: the moments, at most 16 partial normal equations, and the bins. Without rows of
+    Only sums come to the driver: the moments, at most NODES partial normal equations, and the bins. Without rows of
     both classes the score is the share of class 1, or 0.5 without any rows.
     """
     target_rows = labels.where(F.col(id_col).isNotNull() & F.col(target).isNotNull()).groupBy(id_col).agg(F.min(target).cast("double").alias("y"))
@@ -148,16 +149,20 @@ def fit(scratch: Scratch, stats: DataFrame, labels: DataFrame, target: str, id_c
             z = k.features(x[fit_row])
             g += z.T @ z
             b += z.T @ y[fit_row]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16], pa.int32()), pa.array([np.vstack([g, b]).tobytes()], pa.binary())], names=["node", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % NODES], pa.int32()), pa.array([np.vstack([g, b]).tobytes()], pa.binary())], names=["node", "sums"])
 
     def add(batches):
-        total = np.zeros((side + 1, side))
+        total = None
         for batch in batches:
             for x in batch.column(1):
-                total += np.frombuffer(x.as_buffer()).reshape(side + 1, side)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    sums = sum(np.frombuffer(r[0]).reshape(side + 1, side) for r in rows.mapInArrow(part, "node int, sums binary").repartition(16, "node").mapInArrow(add, "sums binary").coalesce(16).collect())
+                own = np.frombuffer(x.as_buffer()).reshape(side + 1, side)
+                total = own.copy() if total is None else total + own
+        if total is not None:  # nothing from partitions without rows, however many there are
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    sums = np.zeros((side + 1, side))
+    for r in rows.mapInArrow(part, "node int, sums binary").repartition(NODES, "node").mapInArrow(add, "sums binary").collect():
+        sums += np.frombuffer(r[0]).reshape(side + 1, side)
     k.weights = np.linalg.solve(sums[:-1] + ridge * n * np.eye(side), sums[-1])
 
     def binned(batches):
