@@ -33,6 +33,25 @@ def to_enu(lat: Column, lon: Column, ele: Column, lat0: Column, lon0: Column, el
     return -F.sin(lam) * dx + F.cos(lam) * dy, -F.sin(phi) * along + F.cos(phi) * dz, F.cos(phi) * along + F.sin(phi) * dz
 
 
+def origin_columns(lat0: Column, lon0: Column, ele0: Column) -> Column:
+    """What every point of a frame needs of its origin, computed once a frame: a struct to carry on the query side."""
+    x, y, z = _ecef(lat0, lon0, ele0)
+    phi, lam = F.radians(lat0), F.radians(lon0)
+    return F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.sin(phi).alias("sp"), F.cos(phi).alias("cp"), F.sin(lam).alias("sl"), F.cos(lam).alias("cl"))
+
+
+def ring_to_enu(ring: Column, origin: Column) -> Column:
+    """ARRAY<STRUCT<lon, lat>> at height 0 to ARRAY<STRUCT<e, n>> in the frame of ``origin`` (see origin_columns).
+
+    Higher-order functions aren't compiled and share no subexpressions, so each step is a pass that computes its
+    values once per vertex: sines and cosines, geocentric coordinates, then the rotation.
+    """
+    trig = F.transform(ring, lambda p: F.struct(F.sin(F.radians(p["lat"])).alias("s"), F.cos(F.radians(p["lat"])).alias("c"), F.radians(p["lon"]).alias("l")))
+    normal = F.transform(trig, lambda t: F.struct((_A2 / F.sqrt(_A2 * t["c"] * t["c"] + _B2 * t["s"] * t["s"])).alias("r"), t["s"].alias("s"), t["c"].alias("c"), t["l"].alias("l")))
+    offset = F.transform(normal, lambda t: F.struct((t["r"] * t["c"] * F.cos(t["l"]) - origin["x"]).alias("x"), (t["r"] * t["c"] * F.sin(t["l"]) - origin["y"]).alias("y"), (t["r"] * (_B2 / _A2) * t["s"] - origin["z"]).alias("z")))
+    return F.transform(offset, lambda d: F.struct((origin["cl"] * d["y"] - origin["sl"] * d["x"]).alias("e"), (origin["cp"] * d["z"] - origin["sp"] * (origin["cl"] * d["x"] + origin["sl"] * d["y"])).alias("n")))
+
+
 def from_enu(e: Column, n: Column, u: Column, lat0: Column, lon0: Column, ele0: Column) -> tuple[Column, Column, Column]:
     """Latitude, longitude, elevation of a point in the frame; one step of Bowring's formula."""
     x0, y0, z0 = _ecef(lat0, lon0, ele0)

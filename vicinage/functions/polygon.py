@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once; without it an inlined array is rebuilt at every access."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _fold(ring: Column, x: str, y: str, start: Column, step) -> Column:
     """Fold over the ring's edges, cyclic: the edge after the last vertex leads back to the first."""
     size = F.size(ring)
@@ -19,7 +24,7 @@ def _fold(ring: Column, x: str, y: str, start: Column, step) -> Column:
 
 
 def signed_area(ring: Column, x: str = "e", y: str = "n") -> Column:
-    return F.when(F.size(ring) > 0, _fold(ring, x, y, F.lit(0.0), lambda acc, ax, ay, bx, by: acc + (ax * by - ay * bx)) * 0.5)
+    return let(ring, lambda r: F.when(F.size(r) > 0, _fold(r, x, y, F.lit(0.0), lambda acc, ax, ay, bx, by: acc + (ax * by - ay * bx)) * 0.5))
 
 
 def area(ring: Column, x: str = "e", y: str = "n") -> Column:
@@ -35,11 +40,13 @@ def centroid(ring: Column, x: str = "e", y: str = "n") -> Column:
         cross = ax * by - ay * bx
         return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (ax + bx) * cross).alias("x"), (acc["y"] + (ay + by) * cross).alias("y"))
 
-    total = F.get(F.transform(F.array(_fold(ring, x, y, start, step)), lambda t: t), F.lit(0))
-    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[c]) / F.size(ring)
-    flat = F.abs(total["a"]) * 0.5 < 1e-10
-    own = lambda c, k: F.when(flat, mean(c)).otherwise(total[k] / F.when(flat, F.lit(1.0)).otherwise(3 * total["a"]))
-    return F.when(F.size(ring) > 0, F.struct(own(x, "x").alias("e"), own(y, "y").alias("n")))
+    def own(r: Column, t: Column) -> Column:
+        flat = F.abs(t["a"]) * 0.5 < 1e-10
+        mean = lambda c: F.aggregate(r, F.lit(0.0), lambda acc, p: acc + p[c]) / F.size(r)
+        part = lambda c, k: F.when(flat, mean(c)).otherwise(t[k] / F.when(flat, F.lit(1.0)).otherwise(3 * t["a"]))
+        return F.struct(part(x, "x").alias("e"), part(y, "y").alias("n"))
+
+    return let(ring, lambda r: F.when(F.size(r) > 0, let(_fold(r, x, y, start, step), lambda t: own(r, t))))
 
 
 def largest_part(parts: Column, x: str = "lon", y: str = "lat") -> Column:

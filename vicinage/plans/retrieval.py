@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinage.functions.geo import to_enu
+from vicinage.functions.geo import origin_columns, ring_to_enu
 from vicinage.functions.polygon import area, largest_part
 from vicinage.functions.tags import height_with_source
 from vicinage.operators import images as im
@@ -16,14 +16,9 @@ POLYGONS = ("Polygon", "MultiPolygon")
 
 def footprints(features: DataFrame, frames: DataFrame) -> DataFrame:
     """Polygonal features with their largest part's exterior ring in the query's frame: adds ``footprint``."""
-    zero = F.lit(0.0)
-    kept = features.where(F.col("geom_type").isin(*POLYGONS)).join(frames.select("qid", "lat0", "lon0"), "qid")
-
-    def project(p):
-        e, n, _ = to_enu(p["lat"], p["lon"], zero, F.col("lat0"), F.col("lon0"), zero)
-        return F.struct(e.alias("e"), n.alias("n"))
-
-    return kept.withColumn("ring", largest_part(F.col("parts"))).withColumn("footprint", F.transform("ring", project)).drop("ring", "lat0", "lon0")
+    origins = frames.select("qid", origin_columns(F.col("lat0"), F.col("lon0"), F.lit(0.0)).alias("origin"))
+    kept = features.where(F.col("geom_type").isin(*POLYGONS)).join(origins, "qid")
+    return kept.withColumn("footprint", ring_to_enu(largest_part(F.col("parts")), F.col("origin"))).drop("origin")
 
 
 def buildings(features: DataFrame, frames: DataFrame, min_area_m2: float = 20.0) -> DataFrame:
