@@ -45,7 +45,9 @@ class WordTokenizer:
         return cls.kept[path]
 
     def many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [x.ids for x in self.t.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        got = []
+        for lo in range(0, len(pieces), 4096):  # the library's result objects are large
+            got += [x.ids for x in self.t.encode_batch_fast([x.decode() for x in pieces[lo : lo + 4096]], add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum())), lengths
 

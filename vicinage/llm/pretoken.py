@@ -68,13 +68,13 @@ def split_plain(a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Pieces:
     """Ids of every distinct piece seen by this worker, by the piece's 64-bit hash; forgotten beyond ``most`` pieces."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 3_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
 
     def ids(self, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +98,12 @@ class Pieces:
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
             self.flat[self.used : self.used + len(flat)] = flat
             slot[new] = len(self.start) + np.arange(len(new))
-            self.start = np.concatenate([self.start, self.used + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
+            self.start = np.concatenate([self.start, (self.used + np.cumsum(lengths) - lengths).astype(np.int32)])
+            self.length = np.concatenate([self.length, lengths.astype(np.int32)])
             self.used += len(flat)
             self.keys, self.slots = np.insert(self.keys, place[new], unique[new]), np.insert(self.slots, place[new], slot[new])
         slot = slot[inverse]
-        counts = self.length[slot]
+        counts = self.length[slot].astype(np.int64)
         return self.flat[repeat_ranges(self.start[slot], counts)], counts
 
 
