@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table. Rows hold whole texts, so Arrow batches of the default 10,000 rows are made smaller."""
+    if int(spark.conf.get(BATCH_ROWS)) in (0, 10_000):
+        spark.conf.set(BATCH_ROWS, "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -69,7 +69,7 @@ def read_words(a: np.ndarray, offsets: np.ndarray, buckets: int) -> Words:
     unique, at, index = np.unique(h, return_index=True, return_inverse=True)
     order = np.argsort(at)  # ascending slices, as the hashing wants them
     s, e = starts[at[order]], ends[at[order]]
-    features = np.empty((len(unique), 1 + len(PREFIXES)), np.int64)
+    features = np.empty((len(unique), 1 + len(PREFIXES)), np.int32)
     features[:, 0] = unique & U64(buckets - 1)
     for k, n in enumerate(PREFIXES):
         features[order, k + 1] = mix(hash_slices(a, s, np.minimum(e, s + n)) + U64(n)) & U64(buckets - 1)
@@ -82,7 +82,7 @@ def read_words(a: np.ndarray, offsets: np.ndarray, buckets: int) -> Words:
         first = (np.cumsum(counts) - counts)[has]
         for k in range(len(FUNCTION_WORDS)):
             votes[has, k] = np.add.reduceat(((mask >> k) & 1).astype(np.int64), first)
-    return Words(features, index, counts, votes.argmax(1))
+    return Words(features, index.astype(np.int32), counts, votes.argmax(1))
 
 
 @dataclass
