@@ -28,6 +28,28 @@ def test_without_article_element():
     assert " ".join(html.main_blocks(page)) == "One long paragraph, with marks; and words enough. Another one, again with marks, and so forth."
 
 
+LONG = "Words of a long part, one after the other; as in a text, with marks. " * 12
+PARTS = [
+    "<h1>Title</h1><p>" + "An introduction, short. " * 6 + "</p><ul>" + "<li>" + "An item of the list, with some words. " * 3 + "</li></ul>",
+    "<h1>Title</h1><p>An introduction, of a few words.</p><ul>" + ("<li>" + "An item of the list, with some words. " * 3 + "</li>") * 8 + "</ul>",
+    "<section><h2>One</h2><p>" + LONG + "</p></section><section><h2>Two</h2><p>The shorter part, at the end; of a line.</p></section>",
+    "<div><p>The shorter part, of a line, comes first.</p></div><div><p>" + LONG + "</p><p>" + LONG + "</p></div>",
+    "<p>Before the table, a line.</p><table>" + ("<tr><td>" + "A cell of the table, with words. " * 3 + "</td><td>7</td></tr>") * 9 + "</table><p>After it, another.</p>",
+    "<h1>T</h1><div class=text><p>" + LONG + "</p></div>",
+]
+
+
+@pytest.mark.parametrize("inner", PARTS)
+@pytest.mark.parametrize("page", ["<nav><a href=a>Menu</a></nav><article>{}</article><footer>Foot, here.</footer>", "<main>{}</main>", "<div class=ad>Buy, now.</div><article>{}"])
+def test_article_in_parts(page, inner):
+    assert " ".join(html.main_blocks(page.format(inner))) == " ".join(re.sub(r"<[^>]*>", " ", inner).split())
+
+
+def test_parts_without_article_element():
+    page = f"<body><nav><a href=a>Menu</a></nav><div class=content><div><p>First, a line.</p></div><div><p>{LONG}</p><p>{LONG}</p></div></div></body>"
+    assert " ".join(html.main_blocks(page)) == " ".join(f"First, a line. {LONG} {LONG}".split())
+
+
 @pytest.mark.parametrize("page,text", [("", ""), ("just words", "just words"), ("<p>cut off, here &am", "cut off, here &am"), ("<p>a, b <b", "a, b"), ("<p>1 < 2, and 3 > 2.</p>", "1 < 2, and 3 > 2."), ("<p>x&nbsp;&#233;&#x41;\n\t y.</p>", "x éA y."), ("<script>only()", ""), ("<p>q <i>r</i>s, t.</p><p title=\"a>b\">u.</p>", "q rs, t. u.")])
 def test_edges(page, text):
     assert " ".join(html.main_blocks(page)) == text

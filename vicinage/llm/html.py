@@ -2,8 +2,9 @@
 
 A page becomes a sequence of text blocks, each with the path of block-level tags from the root to it. For every
 path the text length and the punctuation of its blocks are summed and divided by the number of blocks; the two
-ratios are fused, smoothed along the page and cut at a threshold. The element that holds most of the selected text
-is the article; its blocks are given in page order, without those inside menus, notices, forms and the like.
+ratios are fused, smoothed along the page and cut at a threshold. The deepest element that holds all of the selected
+text, or the <article> or <main> around it, is the article; its blocks are given in page order, without those inside
+menus, notices, forms and the like.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ OUTSIDE = frozenset("nav header footer aside form button select input dialog men
 WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|aside|widget|menu|nav\w*|breadcrumbs?|header|masthead|footer|foot|comments?|commentlist|replies|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|copyright|disclaimer|skip-?link)(?=$|[\s_-])", re.IGNORECASE)
 ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 MAIN = frozenset("article main body html".split())
+#: Elements that are part of an article, never a whole one.
+PARTS = frozenset("p ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote figure figcaption h1 h2 h3 h4 h5 h6 pre".split())
 PUNCT = re.compile(r"[,.;:!?…。、，；：！？¿¡—–]")
 CLASS = re.compile(r"""\bclass\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
 
@@ -130,7 +133,7 @@ def smooth(values: list[float], sigma: float = 1.0, radius: int = 2) -> list[flo
     return out
 
 
-def main_blocks(html: str, share: float = 0.8, strength: float = 0.5) -> list[str]:
+def main_blocks(html: str, strength: float = 0.5) -> list[str]:
     """The article's blocks in page order."""
     page = Page(html)
     inside = [b for b in page.blocks if not page.out[b[2]]]
@@ -157,12 +160,15 @@ def main_blocks(html: str, share: float = 0.8, strength: float = 0.5) -> list[st
                 e = page.parent[e]
     best, deepest = 0, 0
     for e, w in weight.items():
-        if w >= share * total:
+        if w == total:
             depth = page.path[e].count("/")
             if depth >= deepest:
                 best, deepest = e, depth
-    while page.tag[best] in ("p", "li", "td", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "pre") and page.parent[best] >= 0:
-        best = page.parent[best]
+    around = [best]
+    while page.parent[around[-1]] >= 0:
+        around.append(page.parent[around[-1]])
+    marked = [e for kind in ("article", "main") for e in reversed(around) if page.tag[e] == kind]
+    best = marked[0] if marked else next(e for e in around if page.tag[e] not in PARTS)
     holds = [k == best for k in range(len(page.tag))]
     for k in range(len(page.tag)):
         if page.parent[k] >= 0 and holds[page.parent[k]]:
