@@ -76,3 +76,28 @@ def test_many_levels_keep_every_piece(spark, few):
     rows = packing.pack_documents(spark, docs, PATH, size=256, fan_in=2, few=few).collect()
     total = sum(r.length for r in rows)
     assert len(rows) == 64 and check(rows, 256) <= -(-total // 256) + 2
+
+
+@pytest.mark.parametrize("few,long,short", [(0, 4, 4), (2048, 2500, 2500)])
+def test_pieces_of_other_subtrees_fill_up(spark, few, long, short):
+    """Pieces of 18 tokens in the first partitions, the pieces of 14 that fill them up in the last ones."""
+    words = lambda n: f"repeat('the ', {n - 2}) || 'the'"
+    docs = spark.range(0, 8 * long, 1, 8).selectExpr("id AS doc_id", f"{words(17 + 1)} AS text").union(spark.range(10**6, 10**6 + 8 * short, 1, 8).selectExpr("id AS doc_id", f"{words(13 + 1)} AS text"))
+    rows = packing.pack_documents(spark, docs, PATH, size=32, few=few).collect()
+    assert {r.length for r in rows} == {18, 14} and len(rows) == 8 * (long + short)
+    assert check(rows, 32) == 8 * long
+
+
+def test_plan_equals_best_fit():
+    rng = np.random.default_rng(1)
+    for size, lengths in [(2048, rng.integers(1, 2049, 20000)), (64, rng.integers(1, 20, 3000)), (64, np.full(100, 7)), (8, np.array([8, 8, 1])), (2048, np.minimum(rng.geometric(0.004, 30000), 2048))]:
+        planned = packing.plan(list(enumerate(np.bincount(lengths).tolist()))[1:], size)
+        numbers = np.empty(len(lengths), np.int64)
+        for n in np.unique(lengths):
+            numbers[lengths == n] = np.arange((lengths == n).sum())
+        bins, offsets = packing.slots(planned, lengths, numbers)
+        order = np.lexsort((offsets, bins))
+        b, o, n = bins[order], offsets[order], lengths[order]
+        starts = np.r_[True, b[1:] != b[:-1]]
+        assert (o[starts] == 0).all() and (o[1:] == o[:-1] + n[:-1])[~starts[1:]].all() and (o + n).max() <= size
+        assert sorted(np.bincount(bins, lengths)) == sorted(packing.best_fit(lengths, size)[2])

@@ -1,11 +1,10 @@
-"""Best-fit packing of documents into fixed-length training sequences, by hierarchical residual packing.
-
-Level 0: every partition tokenizes its documents, cuts what is too long, and packs its own pieces best-fit
-decreasing. Bins that are nearly full stay as they are. The others climb a tree of partitions as single items
-(their fill): each node packs the items of up to ``fan_in`` children best-fit again and passes on what is still
-underfull, the ``carry`` emptiest bins at most (further ones are final as they are), so no node's input grows
-with the table. A partition or node of fewer than ``few`` items leaves them as they are for the node above, since
-what is joined early can't be parted again. Only (bin, fill) pairs move up; texts and ids are never shuffled.
+"""Best-fit packing of documents into fixed-length training sequences, planned on counts per length.
+
+Every partition tokenizes its documents, cuts what is too long, and numbers its pieces of each length. Lengths are
+integers up to ``size``, so the pieces of the whole table are known by a count per length: best-fit decreasing is
+planned on these counts, for all pieces at once, and its plan is a short list of runs of equal slots. A running sum of
+the counts over the partitions makes the numbers global, and the number of a piece within its length gives its slot.
+No node ever holds the pieces, nothing is left out of the plan, and texts and token ids are never shuffled.
 """
 
 from __future__ import annotations
@@ -13,17 +12,15 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vicinage.llm.common import Scratch, spans_of, text_bytes
 from vicinage.llm.pretoken import Pieces, encode_texts
 
-PIECES = "piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
-SHIFT = 36  # bins per partition, as bits
+PIECES = "piece int, start long, length long, ids_crc32 long, part int, number long"
 
 
 class WordTokenizer:
@@ -59,7 +56,7 @@ class WordTokenizer:
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin of each item, its offset there, fill of each bin) of best-fit decreasing.
+    """(bin of each item, its offset there, fill of each bin) of best-fit decreasing; ``plan`` does the same on counts.
 
     Open bins are kept by their room; a bit set of the rooms in use finds the tightest one that fits.
     """
@@ -86,6 +83,47 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return bins, offsets, np.asarray(fills, np.int64)
 
 
+def plan(counts: list[tuple[int, int]], size: int) -> np.ndarray:
+    """Best-fit decreasing of pieces given as (length, count): rows of length, first number, first sequence, sequences,
+    offset. Each row deals the pieces of its length from the first number on: one to each of its sequences in turn,
+    at the offset, then the next round behind it.
+
+    Sequences with the same room are kept as runs, so the work depends on the distinct lengths, not on the counts.
+    """
+    by_room: dict[int, list[tuple[int, int]]] = {}
+    rooms, made, out = 0, 0, []
+    for n, count in sorted(counts, reverse=True):
+        number = 0
+        while number < count:
+            fitting = rooms >> n
+            if fitting:
+                room = n + (fitting & -fitting).bit_length() - 1
+                runs = by_room[room]
+                first, many = runs.pop()
+                if not runs:
+                    rooms &= ~(1 << room)
+            else:
+                room, first, many = size, made, -(-(count - number) // (size // n))
+                made += many
+            # the tightest sequence stays the tightest until it is full, so it takes all it can
+            each = min(room // n, count - number)
+            used = min(many, (count - number) // each)
+            out.append((n, number, first, used, size - room))
+            number += used * each
+            for left, lo, k in ((room - each * n, first, used), (room, first + used, many - used)):
+                if left and k:
+                    by_room.setdefault(left, []).append((lo, k))
+                    rooms |= 1 << left
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def slots(planned: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of pieces given by their length and their number within it."""
+    planned = planned[np.lexsort((planned[:, 1], planned[:, 0]))]
+    n, number, first, many, offset = planned[np.searchsorted((planned[:, 0] << 40) + planned[:, 1], (lengths << 40) + numbers, side="right") - 1].T
+    return first + (numbers - number) % many, offset + (numbers - number) // many * n
+
+
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; the first piece takes the remainder."""
     if n <= size:
@@ -94,94 +132,59 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, size) for s in range(first, n, size)]
 
 
-def tokenize_and_pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", flush: int = 200_000, few: int = 2048) -> DataFrame:
-    """Level 0: pieces with their partition's bins. ``fill`` is the bin's fill, on its first piece only.
-
-    A partition of more than ``flush`` pieces is packed in several goes, so a worker holds a bounded number.
-    """
+def tokenize(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of all documents, each with its partition and its number among the partition's pieces of its length."""
 
     def run(batches):
         t = WordTokenizer.of(tokenizer_path)
-        base, done, held, kind = TaskContext.get().partitionId() << SHIFT, 0, [], None
-
-        def pack():
-            nonlocal done, held
-            if not held:
-                return
-            ids, piece, start, length, crc = zip(*held, strict=True)
-            held = []
-            lengths = np.asarray(length, np.int64)
-            if len(lengths) < few and not done:
-                bins, offsets, fills = np.arange(len(lengths)), np.zeros(len(lengths), np.int64), lengths
-            else:
-                bins, offsets, fills = best_fit(lengths, size)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(base + done + bins), pa.array(offsets), pa.array(np.where(offsets == 0, fills[bins], 0), pa.int64(), mask=offsets != 0)],
-                names=["id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"],
-            )
-            done += len(fills)
-
+        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            kind = batch.column(0).type
-            doc_ids = batch.column(0).to_pylist()
+            doc_ids = batch.column(0)
             a, offsets = text_bytes(batch.column(1))
             for i, j in spans_of(offsets, 1 << 20):
                 ids, at = t.encode(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held = []
                 for k in range(j - i):
                     own = np.append(ids[at[k] : at[k + 1]], end_id).astype("<u4")
                     for p, (s, n) in enumerate(cut(len(own), size)):
-                        held.append((doc_ids[i + k], p, s, n, zlib.crc32(own[s : s + n].tobytes())))
-                if len(held) >= flush:
-                    yield from pack()
-        yield from pack()
+                        held.append((i + k, p, s, n, zlib.crc32(own[s : s + n].tobytes())))
+                if not held:
+                    continue
+                row, piece, start, length, crc = zip(*held, strict=True)
+                lengths = np.asarray(length, np.int64)
+                order = np.argsort(lengths, kind="stable")
+                sizes = np.bincount(lengths, minlength=size + 1)
+                numbers = np.empty(len(lengths), np.int64)
+                numbers[order] = np.arange(len(lengths)) + (seen - (np.cumsum(sizes) - sizes))[lengths[order]]
+                seen += sizes
+                yield pa.RecordBatch.from_arrays(
+                    [doc_ids.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(np.full(len(lengths), part, np.int32)), pa.array(numbers)],
+                    names=["id", "piece", "start", "length", "ids_crc32", "part", "number"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {PIECES}").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {PIECES}")
 
 
-def merge_level(items: DataFrame, size: int, carry: int, few: int) -> DataFrame:
-    """Pack each node's underfull bins as items: (bin, root, shift, fill), the fill on the bin that leads its new bin,
-    and -1 elsewhere and for bins that are final."""
-
-    def node(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["bin"].to_numpy()
-        if len(own) < few:
-            return pd.DataFrame({"bin": own, "root": own, "shift": 0, "fill": pdf["fill"]})
-        bins, offsets, fills = best_fit(pdf["fill"].to_numpy(), size)
-        lead = np.empty(len(fills), np.int64)
-        lead[bins[offsets == 0]] = own[offsets == 0]
-        up = np.zeros(len(fills), bool)
-        up[np.argsort(fills, kind="stable")[:carry]] = True
-        return pd.DataFrame({"bin": own, "root": lead[bins], "shift": offsets, "fill": np.where((offsets == 0) & up[bins], fills[bins], -1)})
-
-    return items.groupBy("node").applyInPandas(node, "bin long, root long, shift long, fill long")
-
-
-def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, fan_in: int = 8, carry: int = 200_000, few: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, fan_in: int = 8, few: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end token alone; a null id is kept; repeated rows are packed one by one; no rows
-    give no rows; other columns are not read.
+    give no rows; other columns are not read. ``fan_in`` and ``few`` shaped a tree of partitions that the plan on
+    counts does without; they are taken for the sake of callers and change nothing.
     """
     scratch = Scratch(spark, "pack")
-    pieces = scratch.save(tokenize_and_pack(docs, tokenizer_path, size, end_id, id_col, text_col, few=few), "pieces")
-    tolerance, level = size // 32, 0
-    items = pieces.where(F.col("fill") <= size - tolerance).select("bin", "fill")
-    top = items.agg(F.max(F.shiftright("bin", SHIFT))).first()[0]
-    moved = None
-    while top is not None:
-        level += 1
-        top //= fan_in
-        step = scratch.save(merge_level(items.withColumn("node", F.floor(F.shiftright("bin", SHIFT) / F.lit(fan_in**level))), size, carry, few if top else 0), f"level{level}")
-        if moved is None:
-            moved = step.select("bin", "root", "shift")
-        else:
-            up = step.select(F.col("bin").alias("root"), F.col("root").alias("above"), F.col("shift").alias("more"))
-            moved = scratch.save(moved.join(up, "root", "left").select("bin", F.coalesce("above", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), f"moved{level}")
-        if top == 0:
-            break
-        items = step.where((F.col("fill") >= 0) & (F.col("fill") <= size - tolerance)).select(F.col("root").alias("bin"), "fill")
-    out = pieces if moved is None else pieces.join(moved, "bin", "left")
-    if moved is None:
-        out = out.withColumns({"root": F.lit(None).cast("long"), "shift": F.lit(None).cast("long")})
-    return out.select(id_col, "piece", "start", "length", "ids_crc32", F.coalesce("root", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    pieces = scratch.save(tokenize(docs, tokenizer_path, size, end_id, id_col, text_col), "pieces")
+    counts = scratch.save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
+    planned = plan([(r[0], r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()], size)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    numbered = pieces.join(counts.select("part", "length", before.alias("before")), ["part", "length"])
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def place(batches):
+        for batch in batches:
+            sequence, offset = slots(planned, batch.column(3).to_numpy(), batch.column(5).to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(sequence), pa.array(offset)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    placed = numbered.select("id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("number")).alias("number"))
+    return placed.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
