@@ -84,6 +84,12 @@ def test_redaction(spark, awkward, nothing):
     assert pii.redact(awkward).count() == awkward.count() and pii.redact(nothing).count() == 0
 
 
+def test_redaction_masks_partly_overlapping_spans(spark):
+    docs = spark.createDataFrame([(1, "+49 30 1234 567 12john@x.com"), (2, "x a@1.2.3.4 y")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert "john" not in got[1] and "x.com" not in got[1] and got[1].endswith("[EMAIL]") and got[2] == "x [EMAIL] y"
+
+
 def test_expectation_maximisation_tells_good_labelers(spark):
     rows = [("call tel (415) 555-%04d" % i, i) for i in range(300)] + [("order 015 015 %04d" % i, 1000 + i) for i in range(300)]
     df = spark.createDataFrame(rows, "text string, doc_id long")

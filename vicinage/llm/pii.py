@@ -242,15 +242,16 @@ def find(docs: DataFrame, save, id_col: str = "doc_id", text_col: str = "text",
 def redact(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and n_chars (if there) set to the new length.
 
-    Where spans overlap, the one that starts first counts (of several, the longest); the other columns, a null
-    text and the order of columns stay as they are.
+    Where spans overlap, the one that starts first counts (of several, the longest), and what another has beyond its
+    end is replaced by the other's kind, so the union of all spans is masked; the other columns, a null text and
+    the order of columns stay as they are.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     text = F.col(f"_row.`{text_col}`")
     model = learn(candidates(extract(rows, text)).select("_cands"))
     spanned = with_spans(candidates(extract(rows, text)), model, threshold)
     ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("n"), x["kind"].alias("kind"))))
-    cut = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), lambda a, x: F.when(x["s"] < a["at"], a).otherwise(F.struct((-x["n"]).alias("at"), F.concat(a["out"], F.array(F.substring("_text", a["at"] + 1, x["s"] - a["at"]), F.concat(F.lit("["), F.upper(F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["kind"] + 1)), F.lit("]")))).alias("out"))))
+    cut = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), lambda a, x: F.when(-x["n"] <= a["at"], a).otherwise(F.struct((-x["n"]).alias("at"), F.concat(a["out"], F.array(F.substring("_text", a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0))), F.concat(F.lit("["), F.upper(F.element_at(F.array(*(F.lit(k) for k in KINDS)), x["kind"] + 1)), F.lit("]")))).alias("out"))))
     out = spanned.withColumn("_cut", F.when(F.size("_spans") > 0, cut))
     new = F.when(F.col("_cut").isNull(), text).otherwise(F.concat(F.array_join("_cut.out", ""), F.substring("_text", F.col("_cut.at") + 1, F.length("_text"))))
     out = out.withColumn("_new", new)
