@@ -113,3 +113,14 @@ def test_least_labels():
     for a, b in ((0, 3), (3, 4)):
         link[a, b] = link[b, a] = True
     assert least_labels(link, np.array([9, 1, 7, 5, 3])).tolist() == [3, 1, 7, 3, 3]
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Id 1 has two texts; each has a near copy of its own."""
+    one, two = " ".join(f"a{k}" for k in range(200)), " ".join(f"b{k}" for k in range(200))
+    rows = [(1, one), (1, two), (1, one), (2, one + " x"), (3, two + " x"), (4, "c d e f g h"), (3, "g h i j k l m"), (5, None), (5, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.components(spark, docs).collect())
+    assert got == [(1, 196, 1, True)] * 3 + [(2, 197, 1, False), (3, 3, 3, True), (3, 197, 1, False), (4, 2, 4, True), (5, 0, 5, True), (5, 0, 5, True)]
+    left = sorted((r.doc_id, r.text) for r in neardup.one_of_each(spark, docs).collect())
+    assert left == sorted([(1, one), (1, two), (3, "g h i j k l m"), (4, "c d e f g h"), (5, " ")])

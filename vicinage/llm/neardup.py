@@ -68,6 +68,10 @@ def min_max(sets: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
     return mix(out).view(np.int64)
 
 
+def set_digests(sets: list[np.ndarray]) -> list[bytes | None]:
+    return [hashlib.md5(x.tobytes()).digest() if len(x) else None for x in sets]
+
+
 def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
     """id, n_shingles, key (16 bytes of the set's digest, null if empty), bands (array)."""
 
@@ -79,7 +83,7 @@ def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
                 sets = [np.unique(flat[at[k] : at[k + 1]]) for k in range(j - i)]
                 sizes = np.fromiter(map(len, sets), np.int64, j - i)
                 some = sizes > 0
-                keys = [hashlib.md5(x.tobytes()).digest() if len(x) else None for x in sets]
+                keys = set_digests(sets)
                 found = min_max(np.concatenate(sets), (np.cumsum(sizes) - sizes)[some], bands) if some.any() else np.zeros((0, bands), np.int64)
                 ends = np.concatenate([[0], np.cumsum(some * bands)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ravel()))], names=["id", "n_shingles", "key", "bands"])
@@ -88,7 +92,7 @@ def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """rep, size, set (sorted 64-bit shingle hashes as binary)."""
+    """rep (hash of the set's digest), size, set (sorted 64-bit shingle hashes as binary)."""
 
     def run(batches):
         for batch in batches:
@@ -96,9 +100,24 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             for i, j in spans_of(offsets, CHUNK):
                 flat, at = shingles(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 sets = [np.unique(flat[at[k] : at[k + 1]]) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "size", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_digests(sets), pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "size", "set"])
+
+    return docs.mapInArrow(run, "key binary, size long, set binary").select(F.xxhash64("key").alias("rep"), "size", "set")
+
+
+def set_keys(text, width: int):
+    """The key of ``signatures`` as a column."""
 
-    return docs.mapInArrow(run, "rep long, size long, set binary")
+    @F.arrow_udf("binary")
+    def keys(texts: pa.Array) -> pa.Array:
+        a, offsets = text_bytes(texts)
+        out = []
+        for i, j in spans_of(offsets, CHUNK):
+            flat, at = shingles(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+            out += set_digests([np.unique(flat[at[k] : at[k + 1]]) for k in range(j - i)])
+        return pa.array(out, pa.binary())
+
+    return keys(text)
 
 
 def linked_sets(flat: np.ndarray, sizes: np.ndarray, percent: int, columns: int = 4096) -> np.ndarray:
@@ -158,21 +177,30 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct ``width``-word shingles, or the
     whole sequence of a shorter text. A null, empty or blank text has an empty set and links with nothing; so has a
-    null id, whose component is null and which is kept. Repeated rows have equal sets; they form one component
-    under their id, and each such row is given. Ids are whole numbers; other columns are not read. The candidate
+    null id, whose component is null and which is kept. Rows of equal sets are one class; rows that repeat an id with
+    another text are of a class, and maybe of a component, of their own. Each row is given. Ids are whole numbers; other columns are not read. The candidate
     ids are broadcast only up to ``small_ids`` of them (16 MB); beyond it the texts are joined by id.
     """
+    found = labelled(spark, docs, id_col, text_col, width, percent, bands, block, pivots, small_ids)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80, bands: int = 20, block: int = 1024, pivots: int = 32, small_ids: int = 2_000_000) -> DataFrame:
+    """``components`` with the key of each row's set and a label of its component: id, n_shingles, key, component, component_id.
+
+    A class goes by a 64-bit hash of its set's digest, since an id may lead several; the least ids come in at the end.
+    """
     scratch = Scratch(spark, "minmax")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.save(signatures(src, width, bands), "signatures")
     usable = signed.where("id is not null and key is not null")
-    classes = scratch.save(usable.groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    lead = classes.select(F.col("rep").alias("id")).join(usable.select("id", "bands"), "id").dropDuplicates(["id"])
-    spread = lead.select(F.col("id").alias("rep"), F.posexplode("bands").alias("band", "hash"))
+    classes = scratch.save(usable.groupBy("key").agg(F.min("id").alias("least_id")).withColumn("rep", F.xxhash64("key")), "classes")
+    lead = classes.select(F.col("least_id").alias("id"), "key", "rep").join(usable.select("id", "key", "bands"), ["id", "key"]).dropDuplicates(["rep"])
+    spread = lead.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("rep").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
     buckets = buckets.groupBy("n", "m", "x", "y").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n")
     members = scratch.save(spread.join(buckets, ["band", "hash"]), "members")
-    wanted = scratch.save(members.select(F.col("rep").alias("id")).distinct(), "wanted")
+    wanted = scratch.save(classes.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("least_id").alias("id")).distinct(), "wanted")
     if wanted.count() <= small_ids:
         wanted = F.broadcast(wanted)
     sets = scratch.save(full_sets(src.join(wanted, "id", "left_semi").select("id", "text"), width).dropDuplicates(["rep"]), "sets")
@@ -195,30 +223,36 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         more = scratch.save(confirm(rest.join(sets, "rep"), percent), "more")
         if not more.isEmpty():
             parts = connected_components(scratch, edges.unionByName(more), "rep", "least")
-    grouped = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    known = usable.select("id", "n_shingles", "key").join(grouped, "key").select("id", "n_shingles", "component_id")
-    alone = signed.where("id is null or key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return known.unionByName(alone).select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = scratch.save(classes.select("rep", "least_id").join(parts.withColumnRenamed("id", "rep"), "rep"), "linked")
+    least = scratch.save(linked.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
+    grouped = classes.join(linked.join(least, "component").select("rep", "component", "component_id"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "least_id").alias("component_id"))
+    known = usable.select("id", "n_shingles", "key").join(grouped, "key").select("id", "n_shingles", "key", "component", "component_id")
+    alone = signed.where("id is null or key is null").select("id", "n_shingles", "key", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"))
+    return known.unionByName(alone)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_ids: int = 2_000_000, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those that have a near-duplicate of smaller id.
 
-    Of rows that repeat an id the one with the longest text stays (then the greatest row); rows of null id all
-    stay. Only ids to drop are joined to the texts: by broadcast up to ``small_ids`` of them, else by a shuffle.
+    Of rows that repeat an id with equal or linked sets the one with the longest text stays (then the greatest row);
+    rows of null id all stay. Only ids to drop or repeated ones are joined to the texts: by broadcast up to
+    ``small_ids`` of them, else by a shuffle.
     """
     scratch = Scratch(spark, "oneofeach")
-    found = scratch.save(components(spark, docs, id_col, text_col, small_ids=small_ids, **options).select(F.col(id_col).alias("_id"), "kept"), "kept")
-    per = found.where("_id is not null").groupBy("_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    found = scratch.save(labelled(spark, docs, id_col, text_col, small_ids=small_ids, **options).where("id is not null").select(F.col("id").alias("_id"), F.col("key").alias("_key"), F.col("component").alias("_component"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept")), "kept")
+    per = found.groupBy("_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
     drop, again = (scratch.save(x.select("_id"), n) for x, n in ((per.where("not kept"), "drop"), (per.where("kept and n > 1"), "again")))
     few = lambda x: F.broadcast(x) if x.count() <= small_ids else x
     key = F.col(id_col).cast("long") == F.col("_id")
     left = docs.join(few(drop), key, "left_anti")
     if again.isEmpty():
         return left
-    once = left.join(few(again), key, "left_semi")
     row = F.struct(F.length(F.coalesce(text_col, F.lit(""))).alias("_n"), *(F.col(f"`{c}`") for c in docs.columns))
-    once = once.groupBy(F.col(id_col).alias("_key")).agg(F.max(row).alias("_r")).select(*(F.col(f"_r.`{c}`").alias(c) for c in docs.columns))
+    once = left.join(few(again), key, "left_semi").select(F.col(id_col).cast("long").alias("_id"), set_keys(F.col(text_col), options.get("width", 5)).alias("_key"), row.alias("_r"))
+    once = once.groupBy("_id", "_key").agg(F.max("_r").alias("_r")).alias("o")
+    sets = found.join(few(again), "_id", "left_semi").where("kept").select("_id", "_key", "_component").distinct().alias("s")
+    once = once.join(sets, (F.col("o._id") == F.col("s._id")) & F.col("o._key").eqNullSafe(F.col("s._key")))
+    once = once.groupBy("o._id", "_component").agg(F.max("_r").alias("_r")).select(*(F.col(f"_r.`{c}`").alias(c) for c in docs.columns))
     return left.join(few(again), key, "left_anti").unionByName(once)
 
 
