@@ -7,8 +7,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from vicinage.llm import bpe
-from vicinage.llm.common import spans_of, text_bytes
+from vicinage.llm import bpe, pretoken
+from vicinage.llm.common import hash_slices, same_slices, spans_of, text_bytes
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -54,3 +54,33 @@ def test_awkward_rows(spark, awkward, nothing, library):
     assert [list(r.token_ids) for r in got] == [library.encode_ordinary(r.text or "") for r in given]
     assert [bytes(r.decoded) for r in got] == [(r.text or "").encode() for r in given]
     assert bpe.encode_digests(nothing, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def twins(n):
+    """The Thue-Morse word of n letters and its complement, which polynomial hashes confuse."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return [s, s.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("poor", [False, True])
+def test_pieces_are_told_apart_by_their_bytes(library, monkeypatch, poor):
+    if poor:  # whatever the hash: nearly all pieces share one of three values
+        monkeypatch.setattr(pretoken, "hash_slices", lambda a, s, e: (e - s).astype(np.uint64) % np.uint64(3))
+    codec = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    for text in twins(1024) + twins(2048) + twins(4096) + [" ".join(texts()[:60])] * 2:
+        a, offsets = text_bytes(pa.array([text]))
+        assert codec.encode(a, offsets)[0].tolist() == library.encode_ordinary(text)
+
+
+def test_equal_slices():
+    rng = np.random.default_rng(0)
+    a = rng.integers(97, 99, 20000).astype(np.uint8)
+    ends = np.sort(rng.choice(20001, 3000, replace=False))
+    starts = np.concatenate([[0], ends[:-1]])
+    pieces = [a[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
+    got = same_slices(a, starts, ends, a, starts[::-1].copy(), ends[::-1].copy())
+    assert got.tolist() == [x == y for x, y in zip(pieces, pieces[::-1], strict=True)]
+    hashes = dict(zip(pieces, hash_slices(a, starts, ends).tolist(), strict=True))
+    assert len(set(hashes.values())) == len(hashes) and [hashes[x] for x in pieces] == hash_slices(a, starts, ends).tolist()

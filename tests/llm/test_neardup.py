@@ -124,3 +124,15 @@ def test_repeated_ids_with_different_texts(spark):
     assert got == [(1, 196, 1, True)] * 3 + [(2, 197, 1, False), (3, 3, 3, True), (3, 197, 1, False), (4, 2, 4, True), (5, 0, 5, True), (5, 0, 5, True)]
     left = sorted((r.doc_id, r.text) for r in neardup.one_of_each(spark, docs).collect())
     assert left == sorted([(1, one), (1, two), (3, "g h i j k l m"), (4, "c d e f g h"), (5, " ")])
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """A Thue-Morse word and its complement, each before the same words, are no near copies of each other."""
+    rows = []
+    for n in (1024, 2048, 4096):
+        s = "a"
+        while len(s) < n:
+            s += s.translate(str.maketrans("ab", "ba"))
+        rows += [f"{s} c", f"{s.translate(str.maketrans('ab', 'ba'))} c"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.components(spark, docs, width=2).collect()} == {(i, i) for i in range(6)}

@@ -1,7 +1,7 @@
 """Helpers shared by the training-data operators: shared-folder tables, Arrow buffers, hashing.
 
-Nothing here keeps a file on a machine-local disk of a cluster: intermediate tables go to the folder
-named by ``spark.checkpoint.dir``; a temporary folder is made up only where that setting is unset (tests).
+Nothing here keeps a file on a machine-local disk of a cluster: intermediate tables go to the folder named by
+``spark.checkpoint.dir``; on a cluster that names none the operators stop with an error.
 """
 
 from __future__ import annotations
@@ -18,33 +18,45 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table. Rows hold whole texts, so Arrow batches of the default 10,000 rows are made smaller."""
-    if int(spark.conf.get(BATCH_ROWS)) in (0, 10_000):
-        spark.conf.set(BATCH_ROWS, "2000")
+    """An input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a session without one (a test) gets a temporary folder."""
+    """The folder all executors share; an error if a cluster names none, for another machine's disk can't be read.
+
+    A local session has one machine only: it gets a temporary folder, made once and removed at the end.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vicinage-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="vicinage-", ignore_cleanup_errors=True))
+    return f"file://{_LOCAL[0].name}"
+
+
+_LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
 class Scratch:
     """Intermediate tables of one query, written as Parquet under the shared folder.
 
-    Writing a table cuts the lineage: a lost executor costs the tasks it ran, never a whole chain of rounds.
+    Writing a table cuts the lineage: a lost executor costs the tasks it ran, never a whole chain of rounds. Tables
+    that no later plan reads are dropped at once, the others when the session's file system closes.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/vicinage-{tag}-{uuid.uuid4().hex}", 0
+        self._files(self.root).deleteOnExit(self._path(self.root))
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _files(self, name: str):
+        return self._path(name).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -54,10 +66,10 @@ class Scratch:
         out._vicinage_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._vicinage_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete saved tables that no later plan reads."""
+        for df in tables:
+            self._files(df._vicinage_path).delete(self._path(df._vicinage_path), True)
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,53 +106,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = np.random.default_rng(20240117).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_STEP = 0x9E3779B97F4A7C17
-_POW: dict[str, np.ndarray] = {}
+_STEP = U64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
 
+def words_at(a: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position of ``a`` on as one number; behind the end there are zeros."""
+    padded = np.zeros(len(a) + 16, np.uint8)
+    padded[: len(a)] = a
+    return np.ndarray((len(a) + 8,), "<u8", padded, 0, (1,))
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_STEP, -1, 1 << 64)
-        for key, base in (("p", _STEP), ("i", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POW[key] = np.cumprod(steps)
-    return _POW["p"], _POW["i"]
 
+def tail_words(size: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The eight-byte words behind the first one of slices of the given sizes: (slice, word number, bytes in it)."""
+    more = np.maximum(size - 1, 0) >> 3
+    ends = np.cumsum(more)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, most):
+        w = np.arange(lo, min(lo + most, int(ends[-1])))
+        own = np.searchsorted(ends, w, "right")
+        k = w - (ends[own] - more[own]) + 1
+        yield own, k, np.minimum(size[own] - 8 * k, 8)
 
-def hash_slices(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of the byte slices [starts, ends) of ``a`` (ascending, not overlapping), vectorised.
 
-    A polynomial over random byte codes modulo 2**64 taken from prefix sums, then finalised with the length.
-    Slices are worked off in stretches of about ``most`` bytes, so memory doesn't follow a text's length; a
-    slice longer than that is folded stretch by stretch.
+def hash_slices(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte slices [starts, ends) of ``a``, vectorised.
+
+    Every eight-byte word is mixed by itself, then with its place in the slice, before the words are added up, so no
+    pattern of repeated words cancels out as it would in a polynomial. Long slices are worked off in stretches.
     """
-    n = len(starts)
-    out = np.empty(n, np.uint64)
-    i = 0
-    while i < n:
-        j = int(np.searchsorted(ends, starts[i] + most, "right"))
-        if j <= i:
-            h, at = 0, int(starts[i])
-            while at < ends[i]:
-                part = a[at : min(at + most, int(ends[i]))]
-                p, _ = _powers(len(part))
-                h = (h * 0x100000001B3 + int((_BYTE[part] * p[: len(part)]).sum())) % (1 << 64)
-                at += len(part)
-            out[i] = h
-            i += 1
-            continue
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        p, inv = _powers(hi - lo)
-        pre = np.empty(hi - lo + 1, np.uint64)
-        pre[0] = 0
-        np.cumsum(_BYTE[a[lo:hi]] * p[: hi - lo], out=pre[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (pre[e] - pre[s]) * inv[s]
-        i = j
-    return mix(out ^ ((ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93)))
+    view, size = words_at(a), ends - starts
+    total = mix((view[starts] & _MASK[np.minimum(size, 8)]) + _STEP)
+    long = np.flatnonzero(size > 8)
+    begin = starts[long]
+    for own, k, left in tail_words(size[long]):
+        v = mix(mix((view[begin[own] + 8 * k] & _MASK[left]) + _STEP) ^ (k.astype(np.uint64) * _STEP))
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        total[long[own[heads]]] += np.add.reduceat(v, heads)
+    return mix(total ^ (size.astype(np.uint64) * U64(0xD6E8FEB86659FD93)))
+
+
+def same_slices(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, b: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which byte slices [starts, ends) of ``a`` equal the slices [others, other_ends) of ``b``, byte by byte."""
+    va, vb, size = words_at(a), words_at(b), ends - starts
+    same = size == other_ends - others
+    first = _MASK[np.minimum(size, 8)]
+    same &= (va[starts] & first) == (vb[others] & first)
+    long = np.flatnonzero(same & (size > 8))
+    s, o = starts[long], others[long]
+    for own, k, left in tail_words(size[long]):
+        bad = ((va[s[own] + 8 * k] ^ vb[o[own] + 8 * k]) & _MASK[left]) != 0
+        same[long[own[bad]]] = False
+    return same
 
 
 _SPACE = np.zeros(256, bool)

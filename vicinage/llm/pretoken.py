@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from vicinage.llm.common import hash_slices, repeat_ranges
+from vicinage.llm.common import hash_slices, repeat_ranges, same_slices
 
 LETTER, DIGIT, MARK, SPACE, BREAK, OTHER = 1, 2, 3, 4, 5, 0
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -66,7 +66,11 @@ def split_plain(a: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of every distinct piece seen by this worker, by the piece's 64-bit hash; forgotten beyond ``most`` pieces."""
+    """Ids of every distinct piece seen by this worker; forgotten beyond ``most`` pieces.
+
+    Pieces are found by a 64-bit hash and told apart by their bytes: one whose hash belongs to another piece is
+    encoded by itself each time.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
         self.encode, self.most = encode, most
@@ -74,15 +78,34 @@ class Pieces:
 
     def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)  # ids of a slot in ``flat``
+        self.from_, self.to = np.zeros(0, np.int32), np.zeros(0, np.int32)  # bytes of a slot in ``raw``
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.raw, self.filled = np.zeros(1 << 17, np.uint8), 0
+
+    def add(self, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encode slices of ``a`` into new slots."""
+        text, size = a.tobytes(), ends - starts
+        flat, lengths = self.encode([text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        for name, at, new in (("flat", self.used, flat), ("raw", self.filled, a[repeat_ranges(starts, size)])):
+            held = getattr(self, name)
+            if at + len(new) > len(held):
+                held = np.concatenate([held, np.zeros(max(len(held), len(new)), held.dtype)])
+                setattr(self, name, held)
+            held[at : at + len(new)] = new
+        slots = len(self.start) + np.arange(len(starts))
+        ids_end, bytes_end = self.used + np.cumsum(lengths), self.filled + np.cumsum(size)
+        self.start, self.length = np.concatenate([self.start, (ids_end - lengths).astype(np.int32)]), np.concatenate([self.length, lengths.astype(np.int32)])
+        self.from_, self.to = np.concatenate([self.from_, (bytes_end - size).astype(np.int32)]), np.concatenate([self.to, bytes_end.astype(np.int32)])
+        self.used, self.filled = int(ids_end[-1]), int(bytes_end[-1])
+        return slots
 
     def ids(self, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces one after another, ids per piece)."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         unique, at, inverse = np.unique(hash_slices(a, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        if len(self.start) > self.most or self.filled > 1 << 30:
             self.clear()
         place = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
@@ -92,19 +115,14 @@ class Pieces:
         slot[known] = self.slots[place[known]]
         if not known.all():
             new = np.flatnonzero(~known)
-            raw = a.tobytes()
-            flat, lengths = self.encode([raw[s:e] for s, e in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-            if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.int32)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            slot[new] = len(self.start) + np.arange(len(new))
-            self.start = np.concatenate([self.start, (self.used + np.cumsum(lengths) - lengths).astype(np.int32)])
-            self.length = np.concatenate([self.length, lengths.astype(np.int32)])
-            self.used += len(flat)
+            slot[new] = self.add(a, starts[at[new]], ends[at[new]])
             self.keys, self.slots = np.insert(self.keys, place[new], unique[new]), np.insert(self.slots, place[new], slot[new])
         slot = slot[inverse]
+        odd = np.flatnonzero(~same_slices(a, starts, ends, self.raw[: self.filled], self.from_[slot].astype(np.int64), self.to[slot].astype(np.int64)))
+        if len(odd):
+            slot[odd] = self.add(a, starts[odd], ends[odd])
         counts = self.length[slot].astype(np.int64)
-        return self.flat[repeat_ranges(self.start[slot], counts)], counts
+        return self.flat[repeat_ranges(self.start[slot].astype(np.int64), counts)], counts
 
 
 def encode_texts(a: np.ndarray, offsets: np.ndarray, pieces: Pieces, whole: Callable[[str], list[int]]) -> tuple[np.ndarray, np.ndarray]:
