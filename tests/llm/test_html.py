@@ -69,6 +69,57 @@ def test_whole_table(spark, small):
         assert got[r.page_id].text == " ".join(unescape(plain).split()) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def article_text(page):
+    inner = re.search(r"<article>(.*?)(</article>|$)", page, re.DOTALL)[1]
+    return " ".join(unescape(re.sub(r"<[^>]*>?", "", re.sub(r"<br>|</?p>|</?h1>", " ", inner))).split())
+
+
+def foreign(page):
+    """The same page in plain containers whose class names say nothing."""
+    for tag, name in (("article", "k9"), ("nav", "q1"), ("footer", "z3")):
+        page = page.replace(f"<{tag}>", f"<div class='{name}'>").replace(f"</{tag}>", "</div>")
+    return page.replace('<div class="ad">', "<div class='v5'>")
+
+
+def test_ratios_decide_where_no_name_tells(spark):
+    """Without <article> and known names nothing but the ratios finds the article; a constant ratio finds none."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = sum(" ".join(html.main_blocks(foreign(x))) == article_text(x) for x in pages)
+    constant = sum(" ".join(html.main_blocks(foreign(x), ratio=lambda *_: 9.0)) == article_text(x) for x in pages)
+    assert right >= 0.9 * len(pages) and constant == 0
+
+
+def test_threshold_cuts_short_containers():
+    page = "<body><div class=q1><a href=a>Home</a> <a href=b>News</a></div><div class=k9><p>One long paragraph, with marks; and words enough.</p><p>Short.</p><h2>Head</h2><p>Another one, again with marks, and so forth.</p><div class=zz>Buy now</div></div><div class=z3>Buy now</div></body>"
+    assert " ".join(html.main_blocks(page)) == "One long paragraph, with marks; and words enough. Short. Head Another one, again with marks, and so forth."
+    assert html.main_blocks(page, ratio=lambda *_: 9.0).count("Buy now") == 2
+    assert "Buy now" in html.main_blocks(page, strength=0.0)
+
+
+SOME, MORE = "First, a paragraph of some length; it has words & marks.", "Second paragraph, with some text; and marks."
+
+
+@pytest.mark.parametrize("name", ["post-header", "notice", "social-history", "foot", "menu", "alert", "share", "related"])
+def test_paragraphs_of_an_article_stay_whatever_their_container_is_called(name):
+    assert html.main_blocks(f"<article><div class='{name}'><p>{SOME}</p></div><p>{MORE}</p></article>") == [SOME, MORE]
+
+
+@pytest.mark.parametrize("inner,blocks", [
+    ("<header><h1>Title</h1></header><p>{}</p>", ["Title", MORE]), ("<p>{}</p><ul><li><a href=x>Reference one</a></li><li><a href=y>Reference two</a></li></ul>", [MORE, "Reference one", "Reference two"]),
+    ("<p>{}</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>", [MORE, "So x=2 holds."]), ("<p>{}</p><div class=share><a href=a>Tweet</a> <a href=b>Mail</a></div>", [MORE]),
+    ("<p>{}</p><aside>Also, see this.</aside><nav><a>x</a></nav><footer>By me.</footer>", [MORE]), ("<div class='layout with-nav'><h2 class='section-header'>Head</h2><p>{}</p></div>", ["Head", MORE]),
+])
+def test_inside_an_article(inner, blocks):
+    assert html.main_blocks(f"<div class='content has-sidebar'><article>{inner.format(MORE)}</article></div><div class=sidebar>Other, thing.</div>") == blocks
+
+
+@pytest.mark.parametrize("page", ["<div>{}", "<div>a, b. {}", "<section>{}</p>", "<li><section>{}</li>"])
+def test_deep_pages(page):
+    """50,000 levels, in time and room that grow with the page only."""
+    before, after = page.split("{}")
+    assert html.main_blocks(before * 50_000 + "x, y. " + after * 50_000)
+
+
 def test_awkward(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a, b.</p>", "x"), (1, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or -1, r.url or "", r.text, r.n_chars) for r in html.extract(df).collect()) == [(-1, "", "a, b.", 5), (1, "u", "", 0), (1, "u", "", 0)]
