@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: list[tempfile.TemporaryDirectory] = []
 
 
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows while a table of whole texts is worked off; the setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Intermediate tables of one query, written as Parquet under the shared folder.
 
@@ -61,7 +75,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        with text_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._vicinage_path = path
         return out

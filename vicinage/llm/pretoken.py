@@ -72,7 +72,7 @@ class Pieces:
     encoded by itself each time.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         self.encode, self.most = encode, most
         self.clear()
 
