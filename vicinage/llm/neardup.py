@@ -2,13 +2,14 @@
 
 Each document's set of word shingles (as 64-bit hashes) is reduced to the minimum and the maximum of every
 permutation, so a signature of 2k values takes k hash evaluations a shingle. Bands of four values make buckets.
-Documents with equal sets are one class from the start. Buckets with the same members count once; what remains is
-confirmed on the full sets, bucket by bucket, as products of 0/1 matrices: a task returns to each document the
-least document it reaches inside the bucket, never a list of pairs.
-
-A bucket of more than ``block`` classes is first cut into blocks that each also get a few pivots of the bucket.
-Near copies link to some pivot, and only blocks of classes that are still in different components afterwards are
-compared with each other. Nothing is capped: every pair that shares a bucket is confirmed or already connected.
+Documents with equal sets are one class from the start. Buckets whose least member is the same are one group, so a
+full set travels once for each group a class is in, not for each bucket: two that share a bucket meet in its group.
+Groups are confirmed on the full sets as products of 0/1 matrices: a task returns to each document the least document
+it reaches inside the group, never a list of pairs.
+
+A group of more than ``block`` classes is first cut into blocks that each also get a few pivots of the group. Near
+copies link to some pivot, and only blocks of classes that are still in different components afterwards are compared
+with each other. Nothing is capped: every pair that shares a bucket is confirmed or already connected.
 """
 
 from __future__ import annotations
@@ -197,25 +198,25 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
     classes = scratch.save(usable.groupBy("key").agg(F.min("id").alias("least_id")).withColumn("rep", F.xxhash64("key")), "classes")
     lead = classes.select(F.col("least_id").alias("id"), "key", "rep").join(usable.select("id", "key", "bands"), ["id", "key"]).dropDuplicates(["rep"])
     spread = lead.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("rep").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
-    buckets = buckets.groupBy("n", "m", "x", "y").agg(F.min(F.struct("band", "hash")).alias("b")).select("b.band", "b.hash", "n")
-    members = scratch.save(spread.join(buckets, ["band", "hash"]), "members")
+    buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("band", "hash", "lead")
+    members = scratch.save(spread.join(buckets, ["band", "hash"]).select("lead", "rep").distinct(), "members")
     wanted = scratch.save(classes.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("least_id").alias("id")).distinct(), "wanted")
     if wanted.count() <= small_ids:
         wanted = F.broadcast(wanted)
     sets = scratch.save(full_sets(src.join(wanted, "id", "left_semi").select("id", "text"), width).dropDuplicates(["rep"]), "sets")
     sized = members.join(sets.select("rep", "size"), "rep")
-    hot = scratch.save(sized.groupBy("band", "hash").agg(F.first("n").alias("n"), F.sum("size").alias("s")).withColumn("parts", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / (block * 4096))).cast("int")).where("parts > 1").select("band", "hash", "n", "parts"), "hot")
+    parts_of = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / (block * 4096))).cast("int")
+    hot = scratch.save(sized.groupBy("lead").agg(F.count("*").alias("n"), F.sum("size").alias("s")).withColumn("parts", parts_of).where("parts > 1").select("lead", "n", "parts"), "hot")
     any_hot = not hot.isEmpty()
-    dealt = members.select("band", "hash", "rep")
+    dealt = members
     if any_hot:
-        large = members.select("band", "hash", "rep").join(hot, ["band", "hash"])
-        dealt = dealt.join(hot.select("band", "hash", "parts"), ["band", "hash"], "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
+        large = members.join(hot, "lead")
+        dealt = members.join(hot.select("lead", "parts"), "lead", "left").withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))))
         pivot = large.where(F.pmod(F.xxhash64("rep", F.lit(3)), F.ceil(F.col("n") / pivots)) == 0).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.select("band", "hash", "rep", F.col("own").cast("long")).unionByName(pivot.select("band", "hash", "rep", F.col("own").cast("long"))).distinct()
+        dealt = dealt.select("lead", "rep", F.col("own").cast("long")).unionByName(pivot.select("lead", "rep", F.col("own").cast("long"))).distinct()
     else:
         dealt = dealt.withColumn("own", F.lit(0).cast("long"))
-    keyed = dealt.select(F.col("band").alias("g1"), F.col("hash").alias("g2"), F.col("own").alias("g3"), "rep")
+    keyed = dealt.select(F.col("lead").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("own").alias("g3"), "rep")
     edges = scratch.save(confirm(keyed.join(sets, "rep"), percent), "edges")
     parts = connected_components(scratch, edges, "rep", "least")
     if any_hot:
@@ -223,6 +224,8 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
         more = scratch.save(confirm(rest.join(sets, "rep"), percent), "more")
         if not more.isEmpty():
             parts = connected_components(scratch, edges.unionByName(more), "rep", "least")
+        scratch.drop(more)
+    scratch.drop(members, sets, hot, edges)
     linked = scratch.save(classes.select("rep", "least_id").join(parts.withColumnRenamed("id", "rep"), "rep"), "linked")
     least = scratch.save(linked.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     grouped = classes.join(linked.join(least, "component").select("rep", "component", "component_id"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "least_id").alias("component_id"))
@@ -257,25 +260,25 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
 
 def leftovers(scratch: Scratch, large: DataFrame, parts: DataFrame, block: int) -> DataFrame:
-    """Members of large buckets dealt to pairs of blocks that may still hold unlinked pairs: g1, g2, g3, rep.
+    """Members of large groups dealt to pairs of blocks that may still hold unlinked pairs: g1, g2, g3, rep.
 
-    Inside a bucket, a component of at least ``block`` members gets blocks of its own, all smaller ones share
-    mixed blocks. Two blocks of one and the same component need no comparison. The sizes are tables, so that a
-    component of many members is only a skewed join, which is split.
+    Inside a group, a component of at least ``block`` members gets blocks of its own, all smaller ones share mixed
+    blocks. Two blocks of one and the same component need no comparison. The sizes are tables, so that a component
+    of many members is only a skewed join, which is split.
     """
-    member = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("band", "hash", "rep", F.coalesce("component", "rep").alias("c"))
-    per = scratch.save(member.groupBy("band", "hash", "c").count(), "per")
-    big = per.where(F.col("count") >= block).select("band", "hash", "c", F.ceil(F.col("count") / block).cast("int").alias("k"))
-    small = scratch.save(per.where(F.col("count") < block).groupBy("band", "hash").agg(F.ceil(F.sum("count") / block).cast("int").alias("mixed")), "mixed")
-    placed = member.join(big, ["band", "hash", "c"], "left").join(small, ["band", "hash"], "left")
+    member = large.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("lead", "rep", F.coalesce("component", "rep").alias("c"))
+    per = scratch.save(member.groupBy("lead", "c").count(), "per")
+    big = per.where(F.col("count") >= block).select("lead", "c", F.ceil(F.col("count") / block).cast("int").alias("k"))
+    small = scratch.save(per.where(F.col("count") < block).groupBy("lead").agg(F.ceil(F.sum("count") / block).cast("int").alias("mixed")), "mixed")
+    placed = member.join(big, ["lead", "c"], "left").join(small, "lead", "left")
     pure = F.col("k").isNotNull()
-    placed = placed.select("band", "hash", "rep", F.when(pure, F.col("c")).otherwise(F.lit(-1)).alias("c"), F.pmod(F.xxhash64("rep"), F.when(pure, F.col("k")).otherwise(F.col("mixed"))).alias("p"))
-    blocks = placed.select("band", "hash", "c", "p").distinct()
+    placed = placed.select("lead", "rep", F.when(pure, F.col("c")).otherwise(F.lit(-1)).alias("c"), F.pmod(F.xxhash64("rep"), F.when(pure, F.col("k")).otherwise(F.col("mixed"))).alias("p"))
+    blocks = placed.select("lead", "c", "p").distinct()
     a, b = blocks.alias("a"), blocks.alias("b")
     before = (F.col("a.c") < F.col("b.c")) | ((F.col("a.c") == F.col("b.c")) & (F.col("a.p") <= F.col("b.p")))
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.hash") == F.col("b.hash")) & before & ((F.col("a.c") != F.col("b.c")) | (F.col("a.c") == -1)))
-    pairs = pairs.select("a.band", "a.hash", F.xxhash64("a.c", "a.p").alias("g2"), F.xxhash64("b.c", "b.p").alias("g3"), F.explode(F.array(F.struct("a.c", "a.p"), F.struct("b.c", "b.p"))).alias("s")).select("band", "hash", "g2", "g3", "s.c", "s.p").distinct()
-    return placed.join(pairs, ["band", "hash", "c", "p"]).select(F.xxhash64("band", "hash").alias("g1"), "g2", "g3", "rep")
+    pairs = a.join(b, (F.col("a.lead") == F.col("b.lead")) & before & ((F.col("a.c") != F.col("b.c")) | (F.col("a.c") == -1)))
+    pairs = pairs.select("a.lead", F.xxhash64("a.c", "a.p").alias("g2"), F.xxhash64("b.c", "b.p").alias("g3"), F.explode(F.array(F.struct("a.c", "a.p"), F.struct("b.c", "b.p"))).alias("s")).select("lead", "g2", "g3", "s.c", "s.p").distinct()
+    return placed.join(pairs, ["lead", "c", "p"]).select(F.col("lead").alias("g1"), "g2", "g3", "rep")
 
 
 def miss_rate(similarity: float, bands: int) -> float:
