@@ -77,16 +77,16 @@ def test_main_path_is_native(spark, frame):
 
 def test_redaction(spark, awkward, nothing):
     docs = spark.createDataFrame([(1, "write a@b.com or +1 (234) 555-0199!", 5, "z"), (2, None, 6, "z"), (3, "plain", 7, "z"), (None, "1.2.3.4", 7, "z"), (4, "a@1.2.3.4", 7, "z")], "doc_id long, text string, n_chars long, spans string")
-    out = pii.redact(docs)
+    out = pii.redact(docs, Scratch(spark, "t").save)
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars, r.spans) for r in out.collect()}
     assert got == {1: ("write [EMAIL] or [PHONE]!", 25, "z"), 2: (None, 0, "z"), 3: ("plain", 5, "z"), None: ("[IP]", 4, "z"), 4: ("[EMAIL]", 7, "z")}
-    assert pii.redact(awkward).count() == awkward.count() and pii.redact(nothing).count() == 0
+    assert pii.redact(awkward, Scratch(spark, "t").save).count() == awkward.count() and pii.redact(nothing, Scratch(spark, "t").save).count() == 0
 
 
 def test_redaction_masks_partly_overlapping_spans(spark):
     docs = spark.createDataFrame([(1, "+49 30 1234 567 12john@x.com"), (2, "x a@1.2.3.4 y")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(docs, Scratch(spark, "t").save).collect()}
     assert "john" not in got[1] and "x.com" not in got[1] and got[1].endswith("[EMAIL]") and got[2] == "x [EMAIL] y"
 
 
