@@ -31,7 +31,9 @@ def test_spans(spark):
 
 def test_novelty_tells_keys_from_words():
     n = secrets.Novelty()
-    assert n.of("the token is ", "kJ8sd9Lq2zX7vB4nM1pQ5") > 0.6 > n.of("the token is ", "your_token_here_example") and n.of("abcdefghij klm ", "abcdefghij") < 0.5
+    assert n.of("the token is ", "kJ8sd9Lq2zX7vB4nM1pQ5", "") > 0.6 > n.of("the token is ", "your_token_here_example", "") and n.of("abcdefghij klm ", "abcdefghij", "") < 0.5
+    key = "kJ8sd9Lq2zX7vB4nM1pQ5"
+    assert n.of("auth = ", key, f"; again {key}") < 0.3 < n.of("auth = ", key, "; again")
     kinds = lambda t: [secrets.KINDS[x.kind] for x in secrets.all_spans(t, n)]
     assert kinds('auth = "kJ8sd9Lq2zX7vB4nM1pQ5"') == ["novel"] and kinds('auth = "configsettingsenvironment"') == []
 

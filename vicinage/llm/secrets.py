@@ -1,8 +1,8 @@
 """Secrets by fixed patterns and by dictionary-primed compression novelty.
 
-A candidate is a long unbroken string that follows a sensitive word. Its novelty is the number of bytes by which
-the compressed context grows when the candidate is appended, with a zstandard dictionary of common identifiers and
-the text before it as prime: words and identifiers cost a byte or two, keys cost nearly their entropy.
+A candidate is a long unbroken string that follows a sensitive word. Its novelty is the number of bytes by which the
+compressed text around it (``context`` characters before and behind) grows when the candidate is added, with a
+zstandard dictionary of common identifiers as prime: words and identifiers cost a byte or two, keys nearly their entropy.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ class Span(NamedTuple):
 
 
 class Novelty:
-    """Marginal compressed bytes of a string after its context."""
+    """Marginal compressed bytes of a string given the text around it."""
 
     def __init__(self, level: int = 6):
         import zstandard
@@ -52,9 +52,10 @@ class Novelty:
         prime = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=level, dict_data=prime, write_content_size=False, write_checksum=False)
 
-    def of(self, context: str, candidate: str) -> float:
-        before = context.encode("utf-8", "replace")
-        return (len(self.compressor.compress(before + candidate.encode("utf-8", "replace"))) - len(self.compressor.compress(before))) / max(1, len(candidate))
+    def of(self, before: str, candidate: str, after: str) -> float:
+        """Marginal bytes a character of the candidate behind the text on both sides of it."""
+        a, x, b = (s.encode("utf-8", "replace") for s in (before, candidate, after))
+        return (len(self.compressor.compress(a + b + x)) - len(self.compressor.compress(a + b))) / max(1, len(candidate))
 
 
 def base_spans(text: str) -> list[Span]:
@@ -76,7 +77,7 @@ def all_spans(text: str, novelty: Novelty, least: float = 0.55, context: int = 2
             k += 1
         if furthest >= e:
             continue
-        got = novelty.of(text[max(0, s - context) : s], m.group(1))
+        got = novelty.of(text[max(0, s - context) : s], m.group(1), text[e : e + context])
         if got >= least:
             out.append(Span(s, 3, e, got))
     return sorted(out)
