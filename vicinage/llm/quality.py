@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vicinage.llm.common import Scratch, bucket_of_doc, hash_slices, spans_of, text_bytes, words_of
 
 STATS = ("log_chars", "letters", "capitals", "digits", "spaces", "breaks", "stops", "shouts", "bars", "symbols", "foreign", "word_len", "distinct", "top_word", "adjacent", "caps_words", "short_words", "marked_words", "log_words")
-NODES = 8
+NODES, FAN_IN = 8, 16
 _CLASS = np.full(256, 8, np.uint8)  # 8: symbols
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 1, 0, 2, 9
 _CLASS[[32, 9]], _CLASS[[10, 13, 11, 12]] = 3, 4
@@ -85,6 +85,15 @@ def statistics_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, stats array<double>").withColumnRenamed("id", id_col)
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def statistics_of(texts: pa.Array) -> pa.Array:
+    """stats as a column of the texts."""
+    a, offsets = text_bytes(texts)
+    parts = [statistics(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in spans_of(offsets, 1 << 20)]
+    flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(STATS), pa.int32()), pa.array(flat))
+
+
 @dataclass
 class Kernel:
     """Standardisation, random frequencies and phases, ridge weights, and the calibration's knots."""
@@ -120,14 +129,42 @@ def pool_adjacent(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(b[2], b[0]) for b in blocks]) if blocks else np.zeros(0)
 
 
+def _rows(stats: pa.Array) -> np.ndarray:
+    return stats.flatten().to_numpy(zero_copy_only=False).reshape(len(stats), len(STATS))
+
+
 def _matrix(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    return batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return _rows(batch.column(k))
+
+
+def add_up(scratch: Scratch, parts: DataFrame, side: int) -> np.ndarray:
+    """The sum of the partitions' partial normal equations (sums binary), FAN_IN of them to a task, level by level."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                own = np.frombuffer(x.as_buffer()).reshape(side + 1, side)
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    level = scratch.save(parts, "sums")
+    while (n := level.count()) > NODES:
+        above = scratch.save(level.repartition(-(-n // FAN_IN)).mapInArrow(add, "sums binary"), "sums")
+        scratch.drop(level)
+        level = above
+    total = np.zeros((side + 1, side))
+    for r in level.collect():
+        total += np.frombuffer(r[0]).reshape(side + 1, side)
+    scratch.drop(level)
+    return total
 
 
 def fit(scratch: Scratch, stats: DataFrame, labels: DataFrame, target: str, id_col: str = "doc_id", n_features: int = 384, width: float = 2.5, ridge: float = 1e-3, bins: int = 400, seed: int = 3) -> Kernel:
     """Fit on every labelled row outside the held-out fifth; one in four of them only calibrates.
 
-    Only sums come to the driver: the moments, at most NODES partial normal equations, and the bins. Without rows of
+    Only sums come to the driver: the moments, at most NODES sums of partial normal equations, and the bins. Without rows of
     both classes the score is the share of class 1, or 0.5 without any rows.
     """
     target_rows = labels.where(F.col(id_col).isNotNull() & F.col(target).isNotNull()).groupBy(id_col).agg(F.min(target).cast("double").alias("y"))
@@ -144,25 +181,17 @@ def fit(scratch: Scratch, stats: DataFrame, labels: DataFrame, target: str, id_c
 
     def part(batches):
         g, b = np.zeros((side, side)), np.zeros(side)
+        some = False
         for batch in batches:
             x, y, fit_row = _matrix(batch, 0), batch.column(1).to_numpy(), ~batch.column(2).to_numpy(zero_copy_only=False)
             z = k.features(x[fit_row])
             g += z.T @ z
             b += z.T @ y[fit_row]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % NODES], pa.int32()), pa.array([np.vstack([g, b]).tobytes()], pa.binary())], names=["node", "sums"])
+            some = some or bool(fit_row.any())
+        if some:  # nothing from partitions without rows, however many there are
+            yield pa.RecordBatch.from_arrays([pa.array([np.vstack([g, b]).tobytes()], pa.binary())], names=["sums"])
 
-    def add(batches):
-        total = None
-        for batch in batches:
-            for x in batch.column(1):
-                own = np.frombuffer(x.as_buffer()).reshape(side + 1, side)
-                total = own.copy() if total is None else total + own
-        if total is not None:  # nothing from partitions without rows, however many there are
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    sums = np.zeros((side + 1, side))
-    for r in rows.mapInArrow(part, "node int, sums binary").repartition(NODES, "node").mapInArrow(add, "sums binary").collect():
-        sums += np.frombuffer(r[0]).reshape(side + 1, side)
+    sums = add_up(scratch, rows.mapInArrow(part, "sums binary"), side)
     k.weights = np.linalg.solve(sums[:-1] + ridge * n * np.eye(side), sums[-1])
 
     def binned(batches):
@@ -199,16 +228,18 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, tar
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, target: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold; scored where they lie, without a join."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold.
+
+    The rows are written once with their statistics, so every text is read once and no join is needed. A null or
+    empty text has the statistics of nothing, a row without an id is scored like any other; no rows give no rows.
+    """
     scratch = Scratch(spark, "quality")
-    k = fit(scratch, scratch.save(statistics_table(docs, id_col, text_col), "stats"), labels, target, id_col)
-    at = docs.columns.index(text_col)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    rows = scratch.save(docs.select(row, statistics_of(F.col(f"`{text_col}`")).alias("stats")), "rows")
+    k = fit(scratch, rows.select(F.col(f"_row.`{id_col}`").alias(id_col), "stats"), labels, target, id_col)
 
-    def run(batches):
-        for batch in batches:
-            a, offsets = text_bytes(batch.column(at))
-            for i, j in spans_of(offsets, 1 << 20):
-                x = statistics(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield batch.slice(i, j - i).filter(pa.array(k.score(x) >= threshold))
+    @F.arrow_udf("boolean")
+    def good(stats: pa.Array) -> pa.Array:
+        return pa.array(k.score(_rows(stats)) >= threshold)
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.where(good("stats")).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

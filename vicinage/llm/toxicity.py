@@ -145,6 +145,37 @@ def chunks(texts: list[bytes], rows: int):
         yield slice(i, i + len(part)), np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, part)))]).astype(np.int64)
 
 
+def gradients(net: Net, words: Words, pooled: tuple, g: np.ndarray) -> tuple:
+    """Gradients of a loss whose derivative by each text's logit is ``g``: output weights, output bias, filters, filter
+    biases, the embedding rows that take part, and their gradients. ``pooled`` is the forward pass of the same texts."""
+    top, outs, index, first = pooled
+    dim = net.embed.shape[1]
+    g_pool = g[:, None] * net.out[None, :] * (top > 0)
+    vectors = np.vstack([net.embed[words.features].sum(1), np.zeros((1, dim), np.float32)])
+    ends = np.append(first[1:], len(outs[0]))
+    g_filters, g_bias, word_rows, word_grads = [], [], [], []
+    for c, f in enumerate(net.filters):
+        m = f.shape[2]
+        own = g_pool[:, c * m : (c + 1) * m]
+        best = np.stack([outs[c][s:e].argmax(0) + s for s, e in zip(first.tolist(), ends.tolist(), strict=True)])
+        grad = np.zeros_like(f)
+        for j in range(len(f)):
+            at = index[best + j]
+            grad[j] = np.einsum("nmd,nm->dm", vectors[at], own)
+            word_rows.append(at.ravel())
+            word_grads.append((own[:, :, None] * f[j].T[None]).reshape(-1, dim))
+        g_filters.append(grad)
+        g_bias.append(own.sum(0))
+    rows, grads = np.concatenate(word_rows), np.concatenate(word_grads)
+    real = rows < len(words.features)
+    touched, inverse = np.unique(words.features[rows[real]], return_inverse=True)
+    inverse = inverse.reshape(-1, words.features.shape[1])
+    total = np.zeros((len(touched), dim), np.float32)
+    for j in range(inverse.shape[1]):
+        np.add.at(total, inverse[:, j], grads[real])
+    return top.T @ g, float(g.sum()), g_filters, g_bias, touched, total
+
+
 def train(texts: list[bytes], y: np.ndarray, hold: np.ndarray, buckets: int = 1 << 18, dim: int = 8, filters: int = 8, epochs: int = 5, batch: int = 192, rate: float = 0.15, seed: int = 9) -> Net:
     """Fit on the rows that ``hold`` leaves, then calibrate the thresholds on those it marks."""
     net = Net.fresh(buckets, dim, filters, seed)
@@ -176,40 +207,18 @@ def train(texts: list[bytes], y: np.ndarray, hold: np.ndarray, buckets: int = 1
     for _ in range(epochs):
         for k in rng.permutation(len(batches)):
             w, target = batches[k]
-            pooled, outs, index, first = net.pooled(w)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.out_bias, -30, 30)))
+            pooled = net.pooled(w)
+            p = 1 / (1 + np.exp(-np.clip(pooled[0] @ net.out + net.out_bias, -30, 30)))
             g = ((p - target) * weight[target] / len(target)).astype(np.float32)
-            g_pool = g[:, None] * net.out[None, :] * (pooled > 0)
-            g_out, g_bias = pooled.T @ g + 1e-4 * net.out, float(g.sum())
-            vectors = np.vstack([net.embed[w.features].sum(1), np.zeros((1, dim), np.float32)])
-            ends = np.append(first[1:], len(outs[0]))
-            word_rows, word_grads = [], []
+            g_out, g_bias, g_filters, g_filter_bias, touched, g_embed = gradients(net, w, pooled, g)
+            g_out = g_out + 1e-4 * net.out
             for c, f in enumerate(net.filters):
-                m = f.shape[2]
-                own = g_pool[:, c * m : (c + 1) * m]
-                best = np.stack([outs[c][s:e].argmax(0) + s for s, e in zip(first.tolist(), ends.tolist(), strict=True)])
-                grad_f = np.zeros_like(f)
-                for j in range(len(f)):
-                    at = index[best + j]
-                    grad_f[j] = np.einsum("nmd,nm->dm", vectors[at], own)
-                    word_rows.append(at.ravel())
-                    word_grads.append((own[:, :, None] * f[j].T[None]).reshape(-1, dim))
-                squares["f"][c] += grad_f**2
-                f -= rate * grad_f / np.sqrt(squares["f"][c])
-                gb = own.sum(0)
-                squares["b"][c] += gb**2
-                net.bias[c] -= rate * gb / np.sqrt(squares["b"][c])
-            rows, grads = np.concatenate(word_rows), np.concatenate(word_grads)
-            real = rows < len(w.features)
-            rows, grads = rows[real], grads[real]
-            if len(rows):
-                touched, inverse = np.unique(w.features[rows], return_inverse=True)
-                inverse = inverse.reshape(-1, w.features.shape[1])
-                total = np.zeros((len(touched), dim), np.float32)
-                for j in range(inverse.shape[1]):
-                    np.add.at(total, inverse[:, j], grads)
-                squares["e"][touched] += (total**2).mean(1)
-                net.embed[touched] -= 0.3 * rate * total / np.sqrt(squares["e"][touched])[:, None].astype(np.float32)
+                squares["f"][c] += g_filters[c] ** 2
+                f -= rate * g_filters[c] / np.sqrt(squares["f"][c])
+                squares["b"][c] += g_filter_bias[c] ** 2
+                net.bias[c] -= rate * g_filter_bias[c] / np.sqrt(squares["b"][c])
+            squares["e"][touched] += (g_embed**2).mean(1)
+            net.embed[touched] -= 0.3 * rate * g_embed / np.sqrt(squares["e"][touched])[:, None].astype(np.float32)
             squares["out"] += g_out**2
             net.out -= (rate * g_out / np.sqrt(squares["out"])).astype(np.float32)
             squares["bias"] += g_bias**2
@@ -247,19 +256,23 @@ def calibrate(net: Net, texts: list[bytes], y: np.ndarray, buckets: int, least:
         net.thresholds[k] = 1 / (1 + np.exp(-np.clip(t, -30, 30)))
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, target: str, per_class: int, id_col: str, text_col: str) -> DataFrame:
+def sample_of(docs: DataFrame, labels: DataFrame, target: str, per_class: int, longest: int, id_col: str, text_col: str) -> DataFrame:
     """Up to ``per_class`` labelled documents of each class, chosen by a hash of the id: text, y, hold.
 
-    Only ids (at most twice ``per_class``) are broadcast to the scan of the texts.
+    Only ids (at most twice ``per_class``) are broadcast to the scan of the texts. An id counts once, with its least
+    text; texts of more than ``longest`` characters aren't trained on, so the sample has a bound in bytes too.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(target).isNotNull()).groupBy(id_col).agg(F.max(target).alias("y")).where(bucket_of_doc(id_col) != 0)
     picks = [known.where(F.col("y") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for c in (0, 1)]
     ids = F.broadcast(picks[0].unionByName(picks[1]).select(F.col(id_col).alias("_id"), "y"))
-    return docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_id")).select(F.coalesce(text_col, F.lit("")).alias("text"), F.col("y").cast("int").alias("y"), (F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(4)) == 0).alias("hold"))
+    text = F.coalesce(text_col, F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_doc"), text.alias("text")).where(F.length("text") <= longest).join(ids, F.col("_doc") == F.col("_id"))
+    once = rows.groupBy("_id").agg(F.min("text").alias("text"), F.max("y").cast("int").alias("y"))
+    return once.select("text", "y", (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(4)) == 0).alias("hold"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Net:
-    """Train in one task on the bounded sample (``per_class`` rows of each class at most)."""
+def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: int = 4000, longest: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> Net:
+    """Train in one task on the bounded sample: ``per_class`` rows of each class, of ``longest`` characters, at most."""
 
     def run(batches):
         rows = []
@@ -269,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", per_class: in
         net = train([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
-    got = sample_of(docs, labels, target, per_class, id_col, text_col).repartition(1).mapInArrow(run, "net binary").first()
+    got = sample_of(docs, labels, target, per_class, longest, id_col, text_col).repartition(1).mapInArrow(run, "net binary").first()
     return pickle.loads(got[0]) if got else train([], np.zeros(0, np.int64), np.zeros(0, bool))
 
 
@@ -280,7 +293,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, tar
     scores; a label that repeats counts once, as toxic if it is so anywhere; without labelled rows of both classes
     every score is the same. Neither labels, lang, source nor the id enters a score; other columns are not read.
     """
-    net = fit(docs, labels, target, per_class, id_col, text_col)
+    net = fit(docs, labels, target, per_class, id_col=id_col, text_col=text_col)
     shared = spark.sparkContext.broadcast(net)
     names = np.array(list(FUNCTION_WORDS))
 
@@ -298,16 +311,19 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, tar
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below the threshold; scored where they lie, without a join."""
-    shared = spark.sparkContext.broadcast(fit(docs, labels, target, per_class, id_col, text_col))
-    at = docs.columns.index(text_col)
+    """The rows of ``docs``, all columns, whose score is below the threshold; scored where they lie, without a join.
 
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            a, offsets = text_bytes(batch.column(at))
-            for i, j in spans_of(offsets, 1 << 19):
-                w = read_words(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], len(model.embed))
-                yield batch.slice(i, j - i).filter(pa.array(model.score(w) < threshold))
+    Only the texts go to the workers. A null or empty text is scored as one without words, a row without an id like
+    any other; no rows give no rows.
+    """
+    shared = spark.sparkContext.broadcast(fit(docs, labels, target, per_class, id_col=id_col, text_col=text_col))
+
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        model, kept = shared.value, []
+        a, offsets = text_bytes(texts)
+        for i, j in spans_of(offsets, 1 << 19):
+            kept.append(model.score(read_words(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], len(model.embed))) < threshold)
+        return pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col(f"`{text_col}`")))
