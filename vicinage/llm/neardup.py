@@ -223,7 +223,8 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
         rest = leftovers(scratch, large, parts, block)
         more = scratch.save(confirm(rest.join(sets, "rep"), percent), "more")
         if not more.isEmpty():
-            parts = connected_components(scratch, edges.unionByName(more), "rep", "least")
+            known = parts.where("id <> component").select(F.col("id").alias("rep"), F.col("component").alias("least"))
+            parts = connected_components(scratch, known.unionByName(more), "rep", "least")
         scratch.drop(more)
     scratch.drop(members, sets, hot, edges)
     linked = scratch.save(classes.select("rep", "least_id").join(parts.withColumnRenamed("id", "rep"), "rep"), "linked")
