@@ -66,7 +66,7 @@ def min_max(sets: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
     out = np.zeros((len(starts), bands), np.uint64)
     for r in range(ROWS):
         out = out * U64(0x9FB21C651E98DF25) + mix(values[r::ROWS].T + U64(r))
-    return mix(out).view(np.int64)
+    return mix(mix(out) + np.arange(bands, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)).view(np.int64)  # a band's hashes are its own
 
 
 def set_digests(sets: list[np.ndarray]) -> list[bytes | None]:
@@ -197,9 +197,9 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
     usable = signed.where("id is not null and key is not null")
     classes = scratch.save(usable.groupBy("key").agg(F.min("id").alias("least_id")).withColumn("rep", F.xxhash64("key")), "classes")
     lead = classes.select(F.col("least_id").alias("id"), "key", "rep").join(usable.select("id", "key", "bands"), ["id", "key"]).dropDuplicates(["rep"])
-    spread = lead.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = spread.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("band", "hash", "lead")
-    members = scratch.save(spread.join(buckets, ["band", "hash"]).select("lead", "rep").distinct(), "members")
+    spread = lead.select("rep", F.explode("bands").alias("hash"))
+    buckets = spread.groupBy("hash").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("hash", "lead")
+    members = scratch.save(spread.join(buckets, "hash").select("lead", "rep").distinct(), "members")
     wanted = scratch.save(classes.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("least_id").alias("id")).distinct(), "wanted")
     if wanted.count() <= small_ids:
         wanted = F.broadcast(wanted)
