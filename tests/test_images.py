@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -5,11 +6,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from vicinage.functions.geo import haversine_m
 from vicinage.operators import cells, images, sampling
 from vicinage.plans import retrieval, stages
 from vicinage.plans.fixtures import features, view
-from vicinage.sources import bronze, cache, cellsource
-from vicinage.sources.files import download
+from vicinage.sources import bronze, cache, cellsource, featuresource
+from vicinage.sources.files import Thumbnails, download
 
 ORIGIN = (47.6059, -122.3392)
 
@@ -71,7 +74,7 @@ def test_native_sampling_agrees(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"qid": rng.integers(0, 3, 200).astype(np.int32), "arrival": np.arange(200), "image_id": [f"i{k}" for k in range(200)], "e": rng.uniform(-100, 100, 200), "n": rng.uniform(-100, 100, 200), "compass_deg": np.where(np.arange(200) % 4 == 0, np.nan, rng.uniform(0, 360, 200))})
     df = spark.createDataFrame(pdf).withColumn("compass_deg", F.when(~F.isnan("compass_deg"), F.col("compass_deg")))
-    a = {(r.qid, r.rank): r.image_id for r in sampling.sample(df, 12).collect()}
+    a = {(r.qid, r.rank): r.image_id for r in sampling.sample(df, 12, None).collect()}
     assert a == {(r.qid, r.rank): r.image_id for r in sampling.sample_hof(df, 12).collect()} and len(a) == 36
 
 
@@ -131,21 +134,118 @@ def test_token(monkeypatch):
     assert cellsource.token() == "MLY|1|2"
 
 
-def test_cache(spark, tmp_path):
+def test_cache_keys(spark):
+    """The digest is taken of the whole key."""
+    at = (47.60969, -122.3331, 150.9)
+    whole = "osm_buildings_47.6097_-122.3331_r150"
+    assert cache.building_key(*at) == f"{whole}_{hashlib.md5(whole.encode()).hexdigest()[:8]}"
+    assert cache.building_key(47.6062, -122.3321, 150) == "osm_buildings_47.6062_-122.3321_r150_19179a5f"
+    assert cache.image_key(*at) == "raw_47.6097_-122.3331_r150"
+    row = spark.range(1).select(cache.building_key_column(*map(F.lit, at)).alias("b"), cache.image_key_column(*map(F.lit, at)).alias("i")).first()
+    assert (row.b, row.i) == (cache.building_key(*at), cache.image_key(*at))
+    assert len(cache.distinct_keys([(1.00001, 2, 3), (1.00002, 2, 3), (1.1, 2, 3)])) == 2
+
+
+def test_fetch_cache(spark, tmp_path):
+    """Cold, warm, a new query beside a known one, an empty result, queries of one key, and a bypass that is kept."""
     calls = []
 
-    def fetch():
-        calls.append(1)
-        return spark.range(0)
-
-    c = cache.ResultCache(spark, str(tmp_path))
-    key = cache.building_key(47.60969, -122.3331, 150.9)
-    assert key.startswith("osm_buildings_47.6097_-122.3331_r150_") and len(key.rsplit("_", 1)[1]) == 8
-    assert cache.image_key(47.60969, -122.3331, 150.9) == "raw_47.6097_-122.3331_r150"
-    assert c.get(key, fetch).count() == 0 and c.get(key, fetch).count() == 0 and len(calls) == 1  # an empty result is kept
-    c.get(key, fetch, use_cache=False)
-    assert len(calls) == 2
-    assert len(cache.distinct_keys([(1.00001, 2, 3), (1.00002, 2, 3), (1.1, 2, 3)])) == 2
+    def scan(queries):
+        calls.append(sorted(r.qid for r in queries.collect()))
+        return queries.where("radius_m > 1").select("qid", F.concat(F.lit(f"{len(calls)}:"), F.col("lat0").cast("string")).alias("payload"))
+
+    c = cache.FetchCache(spark, str(tmp_path / "cache"))
+    q = lambda *rows: spark.createDataFrame(rows, "qid int, lat0 double, lon0 double, radius_m double")
+    get = lambda queries, **more: sorted(tuple(r) for r in c.fetch("x", queries, cache.image_key_column, scan, **more).select("qid", "payload").collect())
+    assert c.fetch("x", q().limit(0), cache.image_key_column, scan).count() == 0
+    calls.clear()
+    first = q((1, 47.0, 8.0, 150.0), (2, 47.00001, 8.0, 150.2), (3, 48.0, 8.0, 0.5))
+    assert get(first) == [(1, "1:47.0"), (2, "1:47.0")] and calls == [[1, 3]]
+    assert get(first) == [(1, "1:47.0"), (2, "1:47.0")] and len(calls) == 1
+    assert get(q((7, 47.0, 8.0, 150.9), (8, 49.0, 8.0, 9.0))) == [(7, "1:47.0"), (8, "2:49.0")] and calls[1] == [8]
+    assert get(first, use_cache=False) == [(1, "3:47.0"), (2, "3:47.0")] and calls[2] == [1, 3]
+    assert get(first) == [(1, "3:47.0"), (2, "3:47.0")] and len(calls) == 3
+
+
+def test_building_source(spark, tmp_path):
+    """The scan of recorded buildings around two points, through the cache and the stage."""
+    def square(k, lat, lon):
+        ring = [[lon, lat], [lon + 2e-4, lat], [lon + 2e-4, lat + 2e-4], [lon, lat + 2e-4], [lon, lat]]
+        return {"type": "Feature", "properties": {"osmid": k, "building": "yes", "height": str(k)}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+
+    feats = [square(5, 47.6, -122.3), square(6, 47.61, -122.3), square(7, 47.7, -122.3), {"type": "Feature", "properties": {}, "geometry": None}]
+    queries = spark.createDataFrame([(0, 47.6, -122.3, 150.0), (1, 47.61, -122.3, 150.0)], "qid int, lat0 double, lon0 double, radius_m double")
+    scan = featuresource.scanner(features=json.dumps(feats))
+    assert scan(queries).rdd.getNumPartitions() == 2
+    options = {"cache": cache.FetchCache(spark, str(tmp_path / "c"))}
+    for source in (scan, lambda queries: pytest.fail("known")):
+        got = stages.run("osm", {"queries": queries, "feature_scan": source}, options).tables["osm"]
+        assert {(r.qid, r.osm_id, r.height_m) for r in got.collect()} == {(0, 5, 5.0), (1, 6, 6.0)}
+
+
+def test_overpass_elements():
+    ring = [{"lat": 0.0, "lon": 0.0}, {"lat": 0.0, "lon": 1.0}, {"lat": 1.0, "lon": 1.0}, {"lat": 0.0, "lon": 0.0}]
+    way = featuresource.feature_of({"type": "way", "id": 4, "tags": {"building": "yes"}, "geometry": ring})
+    assert way["properties"] == {"building": "yes", "osmid": 4} and way["geometry"]["coordinates"] == [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]
+    many = featuresource.feature_of({"type": "relation", "id": 5, "members": [{"role": "outer", "geometry": ring}, {"role": "inner", "geometry": ring}]})
+    assert many["geometry"]["type"] == "MultiPolygon" and len(many["geometry"]["coordinates"]) == 1
+    assert featuresource.feature_of({"type": "node", "id": 6, "lat": 1.0, "lon": 2.0})["geometry"] == {"type": "Point", "coordinates": [2.0, 1.0]}
+    assert featuresource.feature_of({"type": "relation", "id": 7, "members": []}) is None and featuresource.feature_of({"type": "way", "id": 8}) is None
+
+
+def test_thumbnail_store(spark, tmp_path):
+    """What is stored isn't fetched again; an image whose download fails has no path."""
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def fetch(url):
+        (asked / f"{url}-{len(list(asked.iterdir()))}").touch()
+        if url == "bad":
+            raise OSError
+        return url.encode()
+
+    store = Thumbnails(spark, str(tmp_path / "thumbs"))
+    df = spark.createDataFrame([("a", "good", "p/a"), ("b", "bad", "p/b"), ("c", "", None)], "image_id string, thumb_url string, thumb_path string").coalesce(1)
+    for _ in range(2):
+        got = store.add(df, fetch)
+        assert got.columns == df.columns and {r.image_id: r.thumb_path for r in got.collect()} == {"a": "p/a", "b": None, "c": None}
+    names = sorted(x.name.split("-")[0] for x in asked.iterdir())
+    assert names == ["bad", "bad", "good"] and [bytes(r.content) for r in store.stored().collect()] == [b"good"]
+
+
+def test_sampling_few(spark):
+    """Both forms give one image for a count of 0 or 1, as long as there is any."""
+    df = images.parse(raw_of(spark, payload(6)), frames(spark))
+    for k in (0, 1, 2, 5, 6, 9):
+        a = {(r.qid, r.rank): r.image_id for r in sampling.sample(df, k, None).collect()}
+        assert a == {(r.qid, r.rank): r.image_id for r in sampling.sample_hof(df, k).collect()} and len(a) == max(1, min(k, 6))
+
+
+def test_sampling_starts_as_seeded(spark):
+    df = images.parse(raw_of(spark, payload(40)), frames(spark))
+    first = lambda **more: [r.image_id for r in sampling.sample(df, 5, **more).orderBy("rank").collect()]
+    order = [r.image_id for r in df.orderBy("arrival").collect()]
+    assert first() == first(seed=0) and first()[0] == order[int(np.random.default_rng(0).integers(len(order)))] and first(seed=None)[0] == order[0]
+
+
+def test_dedup_ties_go_to_the_least_row(spark):
+    df = spark.createDataFrame([(0, "a", 5, 2.0), (0, "a", 5, 1.0), (0, "", 1, 0.0)], "qid int, raw_id string, arrival long, lat double")
+    assert [tuple(r) for r in images.dedup_by_id(df).collect()] == [(0, "a", 5, 1.0)]
+
+
+def test_range_join_of_large_radii(spark):
+    """Cells follow the radius, so a query never spreads over many."""
+    queries = spark.createDataFrame([(0, 47.6, -122.3, 200_000.0)], "qid int, lat0 double, lon0 double, radius_m double")
+    points = spark.range(500).selectExpr("id AS arrival", "47.6 + (id % 20 - 10) * 0.4 AS lat", "-122.3 + (id / 20 - 12) * 0.4 AS lon")
+    got = {r.arrival for r in cells.range_join(queries, points).collect()}
+    want = {r.arrival for r in points.crossJoin(queries).where(haversine_m(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")) <= F.col("radius_m")).collect()}
+    assert got == want and 0 < len(want) < 500
+
+
+def test_no_views_are_left_behind(spark, small):
+    before = {t.name for t in spark.catalog.listTables()}
+    entry.queries()["win_rate"](spark, small).collect()
+    assert {t.name for t in spark.catalog.listTables()} <= before
 
 
 def test_thumbnails(spark):
@@ -189,10 +289,20 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
 
     (tmp_path / "i.json").write_text(json.dumps({"data": payload(8)}))
     (tmp_path / "f.geojson").write_text(json.dumps({"features": []}))
+    (tmp_path / "pic").write_bytes(b"jpg")
+    (tmp_path / "urls.json").write_text("\n".join(json.dumps({"image_id": x["id"], "url": f"file://{tmp_path}/pic"}) for x in payload(8)[:5]))
     assert cli.main(["--list-stages"]) == 0 and "osm" in capsys.readouterr().out
-    args = ["--lat", str(ORIGIN[0]), "--lon", str(ORIGIN[1]), "--features", str(tmp_path / "f.geojson"), "--images", str(tmp_path / "i.json"), "--out", str(tmp_path / "out"), "--no-thumbnails"]
-    assert cli.main(args) == 0
-    assert spark.read.parquet(str(tmp_path / "out/layer_images")).count() == 8 and spark.read.parquet(str(tmp_path / "out/osm")).count() == 0
+    place = ["--lat", str(ORIGIN[0]), "--lon", str(ORIGIN[1]), "--out", str(tmp_path / "out"), "--cache", str(tmp_path / "cache"), "--thumb-urls", str(tmp_path / "urls.json"), "--thumbnails", str(tmp_path / "thumbs")]
+    args = [*place, "--features", str(tmp_path / "f.geojson"), "--images", str(tmp_path / "i.json")]
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert cli.main([*args, "--no-download"]) == 0
+    assert read("layer_images").count() == 8 and read("osm").count() == 0 and read("mapillary").where("thumb_path is not null").count() == 0
+    assert cli.main(args) == 0 and read("mapillary").where("thumb_path is not null").count() == 5
+    assert spark.read.parquet(str(tmp_path / "thumbs")).count() == 5
+    (tmp_path / "i.json").write_text(json.dumps({"data": payload(3)}))
+    assert cli.main(args) == 0 and read("mapillary").count() == 8  # from the cache
+    assert cli.main([*args, "--no-cache"]) == 0 and read("mapillary").count() == 3
+    assert cli.main(args) == 0 and read("mapillary").count() == 3
 
 
 def test_stages(spark, small):

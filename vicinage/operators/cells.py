@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from vicinage.functions.geo import METRES_PER_DEGREE, haversine_m, radius_box
 
 
-def range_join(queries: DataFrame, points: DataFrame, cell_deg: float = 0.005, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def range_join(queries: DataFrame, points: DataFrame, cell_deg: float | None = None, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Points within radius_m of each query, as an equi-join on grid cells instead of a nested loop.
 
-    Each query is expanded to the cells its box touches (a few, as cells are about as large as a radius), each
-    point has one cell; the great-circle test is the residual condition. Adds ``dist_m``.
+    Each query is expanded to the cells its box touches (a few, as cells are as large as the largest radius unless
+    given), each point has one cell; the great-circle test is the residual condition. Adds ``dist_m``.
     """
+    largest = queries.agg(F.greatest(F.max("radius_m") / METRES_PER_DEGREE, F.lit(1e-4))).scalar()
+    cell = F.lit(cell_deg) if cell_deg else largest
     box = radius_box(F.col("lat0"), F.col("lon0"), F.col("radius_m") * 1.01)
-    index = lambda c: F.floor(c / cell_deg).cast("int")
+    index = lambda c: F.floor(c / cell).cast("int")
     reach = queries.withColumn("_b", box)
     reach = reach.withColumn("_cx", F.explode(F.sequence(index(F.col("_b.w")), index(F.col("_b.e"))))).withColumn("_cy", F.explode(F.sequence(index(F.col("_b.s")), index(F.col("_b.n"))))).drop("_b")
     placed = points.withColumns({"_cx": index(F.col(lon)), "_cy": index(F.col(lat))})
@@ -55,7 +57,3 @@ def first_per_cell(points: DataFrame, keys: list[str], order: list, limit: int =
 def over_limit(points: DataFrame, key: str = "qid", limit: int = 500) -> DataFrame:
     """Rows per query and whether they reach the limit (a warning only; nothing is cut)."""
     return points.groupBy(key).agg(F.count("*").alias("n_rows")).withColumn("limit_reached", F.col("n_rows") >= limit)
-
-
-def box_of_degrees(radius_m: float) -> float:
-    return radius_m / METRES_PER_DEGREE

@@ -83,11 +83,10 @@ def landmark_accuracy(landmarks: DataFrame, pixels: DataFrame, reach: int = 3) -
 
 def win_rate(votes: DataFrame) -> DataFrame:
     """Wins, losses, ties and win rate (ties count half), per scene and over all (scene NULL)."""
-    votes.createOrReplaceTempView("vicinage_votes")
     return votes.sparkSession.sql("""
         SELECT scene, count_if(outcome = 'with') AS wins, count_if(outcome = 'without') AS losses, count_if(outcome = 'tie') AS ties,
                (count_if(outcome = 'with') + 0.5D * count_if(outcome = 'tie')) / count(*) AS rate
-        FROM vicinage_votes GROUP BY GROUPING SETS ((scene), ())""")
+        FROM {votes} GROUP BY GROUPING SETS ((scene), ())""", votes=votes)
 
 
 def prompt_cache(prompts: DataFrame) -> DataFrame:

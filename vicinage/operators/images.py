@@ -11,11 +11,11 @@ from vicinage.functions.geo import to_enu
 def dedup_by_id(raw: DataFrame, id_col: str = "raw_id", order: str = "arrival") -> DataFrame:
     """The first arrival of each (query, id); empty and null ids are dropped.
 
-    The least (order, row) struct is a partial aggregate, so copies of one id are reduced before the shuffle and a
+    Ties in the order go to the least row. It is a partial aggregate, so copies of one id are reduced before the shuffle and a
     hot id can't fill a task.
     """
     rest = [c for c in raw.columns if c not in ("qid", id_col)]
-    first = raw.where(F.col(id_col) != "").groupBy("qid", id_col).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r"))
+    first = raw.where(F.col(id_col) != "").groupBy("qid", id_col).agg(F.min_by(F.struct(*rest), F.struct(order, *rest)).alias("_r"))
     return first.select(*(F.col(c) if c in ("qid", id_col) else F.col(f"_r.{c}").alias(c) for c in raw.columns))
 
 

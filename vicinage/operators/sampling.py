@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,8 +42,8 @@ def random_start(n: int, seed: int = 0) -> int:
     return int(np.random.default_rng(seed).integers(n)) if n else 0
 
 
-def sample(images: DataFrame, k: int = 100, seed: int | None = None, min_separation: float | None = None) -> DataFrame:
-    """A diverse subset of each query's images with its rank (from 1). Without a seed the first arrival starts."""
+def sample(images: DataFrame, k: int = 100, seed: int | None = 0, min_separation: float | None = None) -> DataFrame:
+    """A diverse subset of each query's images with its rank (from 1). With seed None the first arrival starts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival", kind="stable").reset_index(drop=True)
@@ -75,10 +73,6 @@ def sample_hof(images: DataFrame, k: int) -> DataFrame:
         bound = F.transform(F.array(gaps), lambda g: F.struct(F.concat(acc["sel"], F.array(F.array_position(g, F.array_max(g)).cast("int"))).alias("sel"), g.alias("gap")))
         return F.element_at(bound, 1)
 
-    chosen = F.when(F.size("p") <= k, F.sequence(F.lit(1), F.size("p"))).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, k - 1))), start, step, lambda acc: acc["sel"]))
+    more = F.aggregate(F.sequence(F.lit(1), F.lit(k - 1)), start, step, lambda acc: acc["sel"]) if k > 1 else F.array(F.lit(1))
+    chosen = F.when(F.size("p") <= k, F.sequence(F.lit(1), F.size("p"))).otherwise(more)
     return grouped.select("qid", "p", F.posexplode(chosen).alias("pos", "i")).select("qid", (F.col("pos") + 1).alias("rank"), F.element_at("p", F.col("i"))["image_id"].alias("image_id"))
-
-
-def selections(groups: Iterator[pd.DataFrame], k: int) -> list[list[int]]:
-    """Selections of several groups on the driver, for tests."""
-    return [farthest(g["e"].to_numpy(float), g["n"].to_numpy(float), g["compass_deg"].to_numpy(float), k) for g in groups]

@@ -12,6 +12,7 @@ from vicinage.operators import cells, evaluation, images, layers, sampling
 from vicinage.plans import oracle as o
 from vicinage.plans import retrieval
 from vicinage.plans.fixtures import features, view
+from vicinage.sources import cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,7 +205,7 @@ def coverage(spark, sf_dir):
 
 @query(o.ctes(*o.image_ctes(), *o.sample_ctes(SAMPLE_K)) + "SELECT qid, rank, image_id FROM chosen")
 def fps_sample(spark, sf_dir):
-    return sampling.sample(parsed(spark, sf_dir), SAMPLE_K).select("qid", "rank", "image_id")
+    return sampling.sample(parsed(spark, sf_dir), SAMPLE_K, None).select("qid", "rank", "image_id")
 
 
 @query(o.ctes(*o.image_ctes(), *o.sample_ctes(DENSE_K)) + "SELECT qid, rank, image_id FROM chosen")
@@ -214,7 +215,7 @@ def fps_sample_native(spark, sf_dir):
 
 @query(o.ctes(*o.image_ctes(), *o.sample_ctes(SAMPLE_K, 60.0)) + "SELECT qid, rank, image_id FROM chosen")
 def fps_minsep(spark, sf_dir):
-    return sampling.sample(parsed(spark, sf_dir), SAMPLE_K, min_separation=60.0).select("qid", "rank", "image_id")
+    return sampling.sample(parsed(spark, sf_dir), SAMPLE_K, None, min_separation=60.0).select("qid", "rank", "image_id")
 
 
 def _quad_sql() -> str:
@@ -238,7 +239,7 @@ def range_join(spark, sf_dir):
 
 @query(o.ctes(*o.image_ctes(), *o.sample_ctes(SAMPLE_K), *o.fixture("thumb")) + f"SELECT c.qid, c.rank, c.image_id, {o.rnd('i.e', 4)} AS e, {o.rnd('i.n', 4)} AS n, coalesce(t.url, '') AS thumb_url, CASE WHEN t.url IS NOT NULL THEN concat('thumbnails/', c.image_id, '.jpg') END AS thumb_path FROM chosen c JOIN img i ON i.qid = c.qid AND i.raw_id = c.image_id LEFT JOIN thumb t ON t.image_id = c.image_id")
 def street_images(spark, sf_dir):
-    got = retrieval.street_images(view(spark, sf_dir, "raw_capture"), view(spark, sf_dir, "geo_query"), view(spark, sf_dir, "thumb"), SAMPLE_K)
+    got = retrieval.street_images(view(spark, sf_dir, "raw_capture"), view(spark, sf_dir, "geo_query"), view(spark, sf_dir, "thumb"), SAMPLE_K, None)
     return got.select("qid", "rank", "image_id", rnd("e", 4).alias("e"), rnd("n", 4).alias("n"), "thumb_url", "thumb_path")
 
 
@@ -269,6 +270,12 @@ def stage_metrics(spark, sf_dir):
     return layers.step_counts({"raw": raw, "unique": unique, "parsed": good, "sampled": sampling.sample(good, SAMPLE_K)})
 
 
+@query(o.ctes(*o.fixture("geo_query"), "at AS (SELECT qid, printf('%.4f_%.4f_r%d', lat0, lon0, trunc(radius_m)::BIGINT) AS p FROM geo_query)") + "SELECT qid, concat('osm_buildings_', p, '_', substr(md5(concat('osm_buildings_', p)), 1, 8)) AS building_key, concat('raw_', p) AS image_key FROM at")
+def cache_key(spark, sf_dir):
+    at = (F.col("lat0"), F.col("lon0"), F.col("radius_m"))
+    return view(spark, sf_dir, "geo_query").select("qid", cache.building_key_column(*at).alias("building_key"), cache.image_key_column(*at).alias("image_key"))
+
+
 @query(o.ctes(*o.fixture("feature_source")) + "SELECT feature_id, arg_min(source, r) AS source, arg_min(height, r) AS height FROM (SELECT *, list_position(['survey', 'lidar', 'lod2', 'lod1'], source) AS r FROM feature_source) GROUP BY feature_id")
 def source_priority(spark, sf_dir):
     return evaluation.by_priority(view(spark, sf_dir, "feature_source")).select("feature_id", "source", "height")

@@ -31,7 +31,7 @@ def buildings(features: DataFrame, frames: DataFrame, min_area_m2: float = 20.0)
     return sized.select("qid", "osm_id", "footprint", height.alias("height_m"), source.alias("height_source"), F.coalesce("building", F.lit("yes")).alias("building_type"))
 
 
-def street_images(raw: DataFrame, frames: DataFrame, thumbs: DataFrame | None = None, target_count: int = 100, seed: int | None = None) -> DataFrame:
+def street_images(raw: DataFrame, frames: DataFrame, thumbs: DataFrame | None = None, target_count: int = 100, seed: int | None = 0) -> DataFrame:
     """Deduplicated, parsed and sampled images; thumbnails are joined to the sample only."""
     chosen = sample(im.parse(im.dedup_by_id(raw), frames), target_count, seed)
     if thumbs is not None:

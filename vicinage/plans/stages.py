@@ -6,8 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from vicinage.operators.images import parse_json
 from vicinage.plans import retrieval
+from vicinage.sources.bronze import parse_features
+from vicinage.sources.cache import KeyColumn, building_key_column, image_key_column
 
 
 @dataclass
@@ -21,16 +25,33 @@ class StageData:
 class Stage:
     name: str
     description: str
-    fetch: Callable[[dict[str, DataFrame], dict], DataFrame]
+    fetch: Callable[[dict, dict], DataFrame]
 
 
-def _buildings(sources: dict[str, DataFrame], options: dict) -> DataFrame:
-    return retrieval.buildings(sources["features"], sources["queries"], options.get("min_area_m2", 20.0))
+def _scanned(scan: str, key: KeyColumn, sources: dict, options: dict) -> DataFrame:
+    """The payloads of a scan for all queries, through the cache if there is one."""
+    if options.get("cache") is None:
+        return sources[scan](sources["queries"])
+    return options["cache"].fetch(scan, sources["queries"], key, sources[scan], options.get("use_cache", True))
 
 
-def _images(sources: dict[str, DataFrame], options: dict) -> DataFrame:
-    thumbs = sources.get("thumbs") if options.get("download_thumbnails", True) else None
-    return retrieval.street_images(sources["captures"], sources["queries"], thumbs, options.get("image_limit", 100), options.get("seed"))
+def _buildings(sources: dict, options: dict) -> DataFrame:
+    """From ``features``, or from ``feature_scan`` (queries -> qid, payload)."""
+    features = sources["features"] if "features" in sources else parse_features(_scanned("feature_scan", building_key_column, sources, options))
+    return retrieval.buildings(features, sources["queries"], options.get("min_area_m2", 20.0))
+
+
+def _images(sources: dict, options: dict) -> DataFrame:
+    """From ``captures``, or from ``capture_scan`` (queries -> qid, arrival, payload); thumbnails are stored if asked."""
+    if "captures" in sources:
+        captures = sources["captures"]
+    else:
+        captures = parse_json(_scanned("capture_scan", image_key_column, sources, options)).withColumn("sequence_id", F.lit(None).cast("long"))
+    chosen = retrieval.street_images(captures, sources["queries"], sources.get("thumbs"), options.get("image_limit", 100), options.get("seed", 0))
+    store = options.get("thumbnails")
+    if store is not None and "thumbs" in sources and options.get("download_thumbnails", True):
+        return store.add(chosen, *options.get("fetch", ()))
+    return chosen.withColumn("thumb_path", F.lit(None).cast("string")) if "thumb_path" in chosen.columns and not options.get("download_thumbnails", True) else chosen
 
 
 REGISTRY = {
@@ -51,7 +72,7 @@ def list_stages() -> list[tuple[str, str]]:
     return [(s, REGISTRY[s].description) for s in ORDER]
 
 
-def run(name: str, sources: dict[str, DataFrame], options: dict | None = None) -> StageData:
+def run(name: str, sources: dict, options: dict | None = None) -> StageData:
     """Run the stages up to ``name``; running one again replaces its own table and nothing else."""
     data = StageData()
     for stage in stages_up_to(name):

@@ -15,8 +15,12 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from vicinage.functions.geo import radius_box
+
 Box = tuple[float, float, float, float]
 MAX_DEPTH, ROWS_PER_CELL, FIELDS = 4, 50, "id,geometry,compass_angle,captured_at,sequence,is_pano"
 
@@ -87,8 +91,8 @@ def http_transport(url: str, access: str, timeout: float = 30.0) -> Callable[[Bo
 
 
 class _Cell(InputPartition):
-    def __init__(self, qid: int, box: Box):
-        super().__init__((qid, box))
+    def __init__(self, qid: int, box: Box, number: int):
+        super().__init__((qid, box, number))
 
 
 class CellReader(DataSourceReader):
@@ -98,24 +102,39 @@ class CellReader(DataSourceReader):
         self.url, self.access, self.parts = options.get("url"), options.get("access"), int(options.get("parts", "2"))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Cell(int(qid), cell) for qid, box in self.boxes.items() for cell in split(tuple(box), self.parts)]
+        cells = [(int(qid), cell) for qid, box in self.boxes.items() for cell in split(tuple(box), self.parts)]
+        return [_Cell(qid, cell, k) for k, (qid, cell) in enumerate(cells)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        qid, box = partition.value
+        qid, box, number = partition.value
         fetch = http_transport(self.url, self.access or token()) if self.url else replay(self.items, self.dense)
-        for item in scan(tuple(box), fetch, pause=0.05 if self.url else 0.0):
-            yield qid, json.dumps(item)
+        for k, item in enumerate(scan(tuple(box), fetch, pause=0.05 if self.url else 0.0)):
+            yield qid, (number << 32) + k, json.dumps(item)
 
 
 class CellSource(DataSource):
-    """``spark.read.format("image_cells")`` with options boxes (JSON: qid to box), and items + dense, or url."""
+    """``spark.read.format("image_cells")`` with options boxes (JSON: qid to box), and items + dense, or url. ``arrival`` is the
+    order of the cells and of the items in each."""
 
     @classmethod
     def name(cls) -> str:
         return "image_cells"
 
     def schema(self) -> str:
-        return "qid int, payload string"
+        return "qid int, arrival long, payload string"
 
     def reader(self, schema) -> DataSourceReader:
         return CellReader(dict(self.options))
+
+
+def scanner(**options: str) -> Callable[[DataFrame], DataFrame]:
+    """A scan for a cache: queries -> (qid, arrival, payload). The query points, a list the user gave, go to the plan."""
+
+    def scan(queries: DataFrame) -> DataFrame:
+        spark = queries.sparkSession
+        spark.dataSource.register(CellSource)
+        box = radius_box(F.col("lat0"), F.col("lon0"), F.col("radius_m"))
+        boxes = {str(r.qid): list(r.b) for r in queries.select("qid", box.alias("b")).collect()}
+        return spark.read.format("image_cells").options(boxes=json.dumps(boxes), **options).load()
+
+    return scan
