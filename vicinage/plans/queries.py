@@ -270,7 +270,7 @@ def stage_metrics(spark, sf_dir):
     return layers.step_counts({"raw": raw, "unique": unique, "parsed": good, "sampled": sampling.sample(good, SAMPLE_K)})
 
 
-@query(o.ctes(*o.fixture("geo_query"), "at AS (SELECT qid, printf('%.4f_%.4f_r%d', lat0, lon0, trunc(radius_m)::BIGINT) AS p FROM geo_query)") + "SELECT qid, concat('osm_buildings_', p, '_', substr(md5(concat('osm_buildings_', p)), 1, 8)) AS building_key, concat('raw_', p) AS image_key FROM at")
+@query(o.ctes(*o.fixture("geo_query"), "place AS (SELECT qid, printf('%.4f_%.4f_r%d', lat0, lon0, trunc(radius_m)::BIGINT) AS p FROM geo_query)") + "SELECT qid, concat('osm_buildings_', p, '_', substr(md5(concat('osm_buildings_', p)), 1, 8)) AS building_key, concat('raw_', p) AS image_key FROM place")
 def cache_key(spark, sf_dir):
     at = (F.col("lat0"), F.col("lon0"), F.col("radius_m"))
     return view(spark, sf_dir, "geo_query").select("qid", cache.building_key_column(*at).alias("building_key"), cache.image_key_column(*at).alias("image_key"))
