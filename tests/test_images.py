@@ -12,6 +12,7 @@ from vicinage.operators import cells, images, sampling
 from vicinage.plans import retrieval, stages
 from vicinage.plans.fixtures import features, view
 from vicinage.sources import bronze, cache, cellsource, featuresource
+from vicinage.sources.figure import svg
 from vicinage.sources.files import Thumbnails, download
 
 ORIGIN = (47.6059, -122.3392)
@@ -297,7 +298,9 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
     assert cli.main([*args, "--no-download"]) == 0
     assert read("layer_images").count() == 8 and read("osm").count() == 0 and read("mapillary").where("thumb_path is not null").count() == 0
-    assert cli.main(args) == 0 and read("mapillary").where("thumb_path is not null").count() == 5
+    assert cli.main([*args, "--figure", str(tmp_path / "f.svg"), "--title", "a < b"]) == 0 and read("mapillary").where("thumb_path is not null").count() == 5
+    drawn = (tmp_path / "f.svg").read_text()
+    assert drawn.count("<circle") == 8 + 1 and "a &lt; b" in drawn and drawn.endswith("</svg>\n")
     assert spark.read.parquet(str(tmp_path / "thumbs")).count() == 5
     (tmp_path / "i.json").write_text(json.dumps({"data": payload(3)}))
     assert cli.main(args) == 0 and read("mapillary").count() == 8  # from the cache
@@ -305,6 +308,12 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(args) == 0 and read("mapillary").count() == 3
 
 
+def test_figure():
+    square = [{"e": e, "n": n} for e, n in ((0, 0), (10, 0), (10, 10), (0, 0))]
+    text = svg([{"footprint": square, "colour": "#111111"}], [{"e": 5.0, "n": -5.0, "dx": 8.0, "dy": 0.0, "colour": "#222222"}, {"e": 1.0, "n": 1.0, "dx": None, "dy": None, "colour": "#333333"}], 50.0, 100.0, "t", 200)
+    assert 'points="100.0,100.0 110.0,100.0 110.0,90.0 100.0,100.0"' in text and text.count("<line") == 1 and 'r="50.0"' in text
+
+
 def test_stages(spark, small):
     assert [s.name for s in stages.stages_up_to("mapillary")] == ["osm", "mapillary"] and [s.name for s in stages.stages_up_to("osm")] == ["osm"]
     with pytest.raises(KeyError, match="Unknown stage"):

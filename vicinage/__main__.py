@@ -17,6 +17,7 @@ from vicinage.plans import stages
 from vicinage.session import build
 from vicinage.sources import bronze, cellsource, featuresource
 from vicinage.sources.cache import FetchCache
+from vicinage.sources.figure import draw
 from vicinage.sources.files import Thumbnails, export
 
 
@@ -46,6 +47,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--thumbnails", help="folder of the table of downloaded images")
     p.add_argument("--no-download", "--no-thumbnails", action="store_true", help="leave thumb_path empty")
     p.add_argument("--out")
+    p.add_argument("--figure", help="SVG file to draw")
+    p.add_argument("--title", help="of the figure")
     a = p.parse_args(args)
     if a.list_stages:
         print("\n".join(f"{name}: {text}" for name, text in stages.list_stages()))
@@ -72,6 +75,10 @@ def main(args: list[str] | None = None) -> int:
         out |= {"layer_buildings": layers.building_layer(out["osm"]), "height_summary": layers.height_summary(out["osm"])}
     if "mapillary" in out:
         out |= {"layer_images": layers.image_layer(out["mapillary"]), "compass_summary": layers.compass_summary(out["mapillary"])}
+    if a.figure:
+        nothing = spark.createDataFrame([], "qid int, footprint array<struct<e:double,n:double>>, e double, n double")
+        size = layers.extent(queries, data.tables.get("osm", nothing), data.tables.get("mapillary", nothing))
+        draw(a.figure, queries, size, out.get("layer_buildings"), out.get("layer_images"), title=a.title or "")
     export(out | {"radius_circle": layers.radius_circle(queries)}, a.out)
     return 0
 

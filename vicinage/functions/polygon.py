@@ -52,4 +52,4 @@ def centroid(ring: Column, x: str = "e", y: str = "n") -> Column:
 def largest_part(parts: Column, x: str = "lon", y: str = "lat") -> Column:
     """The exterior ring of greatest planar area in degrees; the first of equals."""
     sized = F.transform(parts, lambda ring, i: F.struct(area(ring, x, y).alias("area"), (-i).alias("order"), ring.alias("ring")))
-    return F.array_max(sized)["ring"]
+    return F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(F.array_max(sized)["ring"])

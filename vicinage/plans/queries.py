@@ -100,7 +100,7 @@ def _footprints(spark, sf_dir) -> DataFrame:
 
 @query(o.ctes(*o.footprint_ctes()) + f"SELECT qid, osm_id, {o.rnd('area_m2', 3)} AS area_m2 FROM measure")
 def footprint_area(spark, sf_dir):
-    return _footprints(spark, sf_dir).select("qid", "osm_id", rnd(polygon.area(F.col("footprint")), 3).alias("area_m2"))
+    return _footprints(spark, sf_dir).select("qid", "osm_id", rnd("area_m2", 3).alias("area_m2"))
 
 
 @query(o.ctes(*o.footprint_ctes()) + f"SELECT qid, osm_id, {o.rnd('ce', 3)} AS ce, {o.rnd('cn', 3)} AS cn FROM measure")

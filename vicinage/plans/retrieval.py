@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vicinage.functions.geo import origin_columns, ring_to_enu
-from vicinage.functions.polygon import area, largest_part
+from vicinage.functions.polygon import area, largest_part, let
 from vicinage.functions.tags import height_with_source
 from vicinage.operators import images as im
 from vicinage.operators.sampling import sample
@@ -15,10 +15,15 @@ POLYGONS = ("Polygon", "MultiPolygon")
 
 
 def footprints(features: DataFrame, frames: DataFrame) -> DataFrame:
-    """Polygonal features with their largest part's exterior ring in the query's frame: adds ``footprint``."""
+    """Polygonal features with their largest part's exterior ring in the query's frame: adds ``footprint``, ``area_m2``.
+
+    Both come out of a generator, so that a filter on the area doesn't project the ring a second time.
+    """
     origins = frames.select("qid", origin_columns(F.col("lat0"), F.col("lon0"), F.lit(0.0)).alias("origin"))
     kept = features.where(F.col("geom_type").isin(*POLYGONS)).join(origins, "qid")
-    return kept.withColumn("footprint", ring_to_enu(largest_part(F.col("parts")), F.col("origin"))).drop("origin")
+    ring = ring_to_enu(largest_part(F.col("parts")), F.col("origin"))
+    once = let(ring, lambda r: F.struct(r.alias("footprint"), area(r).alias("area_m2")))
+    return kept.select(*(c for c in kept.columns if c != "origin"), F.inline(F.array(once)))
 
 
 def buildings(features: DataFrame, frames: DataFrame, min_area_m2: float = 20.0) -> DataFrame:
@@ -26,7 +31,7 @@ def buildings(features: DataFrame, frames: DataFrame, min_area_m2: float = 20.0)
 
     The area test comes before the height expressions. Frames may be shared by several queries.
     """
-    sized = footprints(features, frames).withColumn("area_m2", area(F.col("footprint"))).where(F.col("area_m2") >= min_area_m2)
+    sized = footprints(features, frames).where(F.col("area_m2") >= min_area_m2)
     height, source = height_with_source(F.col("height_tag"), F.col("levels_tag"))
     return sized.select("qid", "osm_id", "footprint", height.alias("height_m"), source.alias("height_source"), F.coalesce("building", F.lit("yes")).alias("building_type"))
 
