@@ -13,7 +13,7 @@ from vicinage.plans import retrieval, stages
 from vicinage.plans.fixtures import features, view
 from vicinage.sources import bronze, cache, cellsource, featuresource
 from vicinage.sources.figure import svg
-from vicinage.sources.files import Thumbnails, download
+from vicinage.sources.files import Thumbnails, download, lookup
 
 ORIGIN = (47.6059, -122.3392)
 
@@ -214,6 +214,18 @@ def test_thumbnail_store(spark, tmp_path):
     assert names == ["bad", "bad", "good"] and [bytes(r.content) for r in store.stored().collect()] == [b"good"]
 
 
+def test_thumbnails_are_looked_up_for_the_sample_only(spark, tmp_path):
+    def fetch(image_id):
+        (tmp_path / image_id).touch()
+        if image_id == "1001":
+            raise OSError
+        return f"u{image_id}"
+
+    got = retrieval.street_images(raw_of(spark, payload(20)), frames(spark), lookup(fetch), target_count=6).collect()
+    assert len(got) == 6 and {r.image_id for r in got} == {x.name for x in tmp_path.iterdir()}
+    assert all((r.thumb_url, r.thumb_path) == (("", None) if r.image_id == "1001" else (f"u{r.image_id}", f"thumbnails/{r.image_id}.jpg")) for r in got)
+
+
 def test_sampling_few(spark):
     """Both forms give one image for a count of 0 or 1, as long as there is any."""
     df = images.parse(raw_of(spark, payload(6)), frames(spark))

@@ -18,7 +18,7 @@ from vicinage.session import build
 from vicinage.sources import bronze, cellsource, featuresource
 from vicinage.sources.cache import FetchCache
 from vicinage.sources.figure import draw
-from vicinage.sources.files import Thumbnails, export
+from vicinage.sources.files import Thumbnails, export, lookup
 
 
 def is_url(place: str) -> bool:
@@ -40,6 +40,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--features", help="GeoJSON file or folder, or the URL of an Overpass server")
     p.add_argument("--images", help="JSON file or folder of image items, or the URL of an image server")
     p.add_argument("--thumb-urls", help="JSON file of lines with image_id and url")
+    p.add_argument("--thumb-server", help="URL of a server to ask for the thumbnail of each chosen image")
     p.add_argument("--image-limit", type=int, default=100)
     p.add_argument("--seed", type=int, default=0, help="of the first image of the sample")
     p.add_argument("--cache", help="folder of fetched payloads")
@@ -62,7 +63,9 @@ def main(args: list[str] | None = None) -> int:
         sources["feature_scan"] = featuresource.scanner(url=a.features) if is_url(a.features) else recorded(bronze.read_feature_items(spark, a.features), "payload")
     if a.images:
         sources["capture_scan"] = cellsource.scanner(url=a.images, access=cellsource.token()) if is_url(a.images) else recorded(bronze.read_image_items(spark, a.images), "arrival", "payload")
-    if a.thumb_urls:
+    if a.thumb_server:
+        sources["thumbs"] = lookup(cellsource.http_thumbnail(a.thumb_server, cellsource.token()), pause=0.05)
+    elif a.thumb_urls:
         sources["thumbs"] = spark.read.schema("image_id string, url string").json(a.thumb_urls)
     options = {"image_limit": a.image_limit, "seed": a.seed, "download_thumbnails": not a.no_download, "use_cache": not a.no_cache}
     if a.cache:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +38,10 @@ def buildings(features: DataFrame, frames: DataFrame, min_area_m2: float = 20.0)
     return sized.select("qid", "osm_id", "footprint", height.alias("height_m"), source.alias("height_source"), F.coalesce("building", F.lit("yes")).alias("building_type"))
 
 
-def street_images(raw: DataFrame, frames: DataFrame, thumbs: DataFrame | None = None, target_count: int = 100, seed: int | None = 0) -> DataFrame:
-    """Deduplicated, parsed and sampled images; thumbnails are joined to the sample only."""
+def street_images(raw: DataFrame, frames: DataFrame, thumbs: DataFrame | Callable[[DataFrame], DataFrame] | None = None, target_count: int = 100, seed: int | None = 0) -> DataFrame:
+    """Deduplicated, parsed and sampled images. Thumbnails (image_id, url) are joined to the sample only; a function is
+    asked for those of the sample, so that a lookup by id is made for the chosen images alone."""
     chosen = sample(im.parse(im.dedup_by_id(raw), frames), target_count, seed)
     if thumbs is not None:
-        chosen = im.with_thumbs(chosen, thumbs)
+        chosen = im.with_thumbs(chosen, thumbs(chosen) if callable(thumbs) else thumbs)
     return chosen

@@ -90,6 +90,17 @@ def http_transport(url: str, access: str, timeout: float = 30.0) -> Callable[[Bo
     return fetch
 
 
+def http_thumbnail(url: str, access: str, field: str = "thumb_256_url", timeout: float = 15.0) -> Callable[[str], str | None]:
+    """The URL of one image's thumbnail, by its id."""
+
+    def fetch(image_id: str) -> str | None:
+        request = urllib.request.Request(f"{url}/{urllib.parse.quote(image_id)}?fields={field}", headers={"Authorization": f"OAuth {access}"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.load(answer).get(field)
+
+    return fetch
+
+
 class _Cell(InputPartition):
     def __init__(self, qid: int, box: Box, number: int):
         super().__init__((qid, box, number))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -36,6 +37,23 @@ def fetch_url(url: str, timeout: float = 15.0) -> bytes:
         return answer.read()
 
 
+def lookup(fetch: Callable[[str], str | None], pause: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """images -> (image_id, url), asking ``fetch`` once for each id; an id that fails has an empty URL."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            urls = []
+            for image_id in pdf["image_id"]:
+                try:
+                    urls.append(fetch(image_id) or "")
+                except Exception:  # noqa: BLE001  one id that fails must not fail the rest
+                    urls.append("")
+                time.sleep(pause)
+            yield pd.DataFrame({"image_id": pdf["image_id"], "url": urls})
+
+    return lambda images: images.select("image_id").distinct().mapInPandas(run, "image_id string, url string")
+
+
 class Thumbnails:
     """Downloaded images as a table (path, content) under a root; what is there is not fetched again."""
 
