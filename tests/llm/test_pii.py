@@ -90,6 +90,43 @@ def test_redaction_masks_partly_overlapping_spans(spark):
     assert "john" not in got[1] and "x.com" not in got[1] and got[1].endswith("[EMAIL]") and got[2] == "x [EMAIL] y"
 
 
+def test_many_spans_in_one_text(spark, nothing):
+    """20,000 spans of base and added kinds, alternating: every added one is free, the masked text holds none."""
+    line = "phone +49 30 {a}, mail a{b}@b.com, tel 415-555-{c:04d}"
+    text = "\n".join(line.format(a=1_000_000 + i, b=i, c=1000 + i % 9000) for i in range(6667))
+    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(docs, Scratch(spark, "t").save).collect()}
+    assert [(pii.KINDS[x.kind], x.s, x.e) for x in spans[1] if x.kind < 4] == base(text)
+    more = [(pii.KINDS[x.kind], text[x.s : x.e]) for x in spans[1] if x.kind >= 4]
+    assert more == [("phone_like", f"415-555-{1000 + i % 9000:04d}") for i in range(6667)]
+    masked = {r.doc_id: r.text for r in pii.redact(docs, Scratch(spark, "t").save).collect()}
+    assert masked[1] == "\n".join(["phone [PHONE], mail [EMAIL], tel [PHONE_LIKE]"] * 6667) and masked[2] == ""
+    assert pii.find(nothing, Scratch(spark, "t").save).count() == 0
+
+
+def test_dropped_matches_are_decided_by_the_votes(spark):
+    """Numbers that fail their check are rejected, but for those that everything else speaks for."""
+    rows = [(i, f"Anea thand {9999111111111112 + 10 * i} onthe, 300.1.2.{i % 256} of") for i in range(60)]
+    rows = [r for r in rows if not base(r[1])] + [(1000 + i, "pay by visa card 4111111111111112 now") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Scratch(spark, "t").save(pii.candidates(pii.extract(docs, docs["text"])).select("doc_id", "_cands"))
+    model = pii.learn(found)
+    got = {r.doc_id: r._spans for r in pii.with_spans(found, model).collect()}
+    offered = sum(len(r._cands) for r in found.collect())
+    taken = {i for i, spans in got.items() if spans}
+    assert offered > 100 and taken == {1000 + i for i in range(12)}
+    card, ip = (pii.KINDS.index(k) for k in ("card_like", "ip_like"))
+    assert model.prior[ip] < 0.1 and model.reliability[card, "cx"][1][0] > model.reliability[card, "cx"][1][1]
+
+
+def test_added_forms(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 please", "account GB29NWBK60161331926819", "call 0301234567 today", "order 1234567890", "token=ab12345678cd 12345678.5", "FOOBAR12 ABCD"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(pii.KINDS[x.kind], texts[r.doc_id][x.s : x.e]) for x in r.spans] for r in pii.find(docs, Scratch(spark, "t").save).collect()}
+    assert got[0] == [("iban_like", "DE89 3704 0044 0532 0130 00")] and got[1] == [("iban_like", "GB29NWBK60161331926819")]
+    assert got[2] == [("number_like", "0301234567")] and got[3] == got[4] == got[5] == []
+
+
 def test_expectation_maximisation_tells_good_labelers(spark):
     rows = [("call tel (415) 555-%04d" % i, i) for i in range(300)] + [("order 015 015 %04d" % i, 1000 + i) for i in range(300)]
     df = spark.createDataFrame(rows, "text string, doc_id long")

@@ -41,6 +41,34 @@ def test_top_k_awkward(spark):
     assert vectors.top_k(spark, empty, empty).count() == 0
 
 
+def test_queries_visit_few_cells_of_clustered_vectors(spark):
+    """Twelve far clusters, one tree each: after the first wave hardly any other cell's bound reaches the floor."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((12, 16)) * 4
+    x = centres[np.arange(1200) % 12] + 0.05 * rng.standard_normal((1200, 16))
+    df = frame(spark, x)
+    got = vectors.top_k(spark, df, df.where("vec_id % 50 = 0"), shard_rows=100)
+    assert {tuple(r) for r in got.collect()} == top_brute(x)
+    cells = vectors.Cells({16: np.floor(256 * centres)})
+    cells.radius[16][:] = 256 * 0.5
+    rows = [(i, 16, -float("inf") if wave == 0 else float((np.floor(256 * x[i]) ** 2).sum() * 0.9), np.floor(256 * x[i]).tobytes()) for wave in (0, 1) for i in range(0, 1200, 50)]
+    asks = [spark.createDataFrame(rows[k * 24 : k * 24 + 24], "id long, dim int, floor double, vec binary") for k in (0, 1)]
+    assert cells.route(asks[0], 0, 1).count() == 24 and cells.route(asks[0], 0, 12).count() == 24 * 12
+    assert cells.route(asks[1], 1, 12).count() < 24
+
+
+@pytest.mark.parametrize("waves", [(1,), (1, 2, 4)])
+def test_waves_and_lengths(spark, waves):
+    """Vectors of several lengths, one of them with a single cell; only equal lengths are compared."""
+    rng = np.random.default_rng(6)
+    long, short = rng.standard_normal((300, 9)) / 4, rng.standard_normal((40, 4)) / 4
+    df = frame(spark, long).unionByName(frame(spark, short, range(1000, 1040)))
+    got = {tuple(r) for r in vectors.top_k(spark, df, df.where("vec_id % 50 = 0"), shard_rows=50, waves=waves).collect()}
+    q = np.floor(256 * short.astype(np.float32).astype(float))
+    order = sorted(range(1, 40), key=lambda j: (-(q[j] @ q[0]), j))[:5]
+    assert got == top_brute(long) | {(1000, r + 1, 1000 + j, int(q[j] @ q[0])) for r, j in enumerate(order)}
+
+
 def near_brute(x, threshold=0.9):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= threshold
@@ -77,7 +105,7 @@ def test_recall_at_the_threshold(spark):
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     x = np.vstack([base, 0.905 * base + math.sqrt(1 - 0.905**2) * other])
     got = vectors.near_vectors(spark, frame(spark, x)).where("n_links > 0").count()
-    assert got >= 0.9 * 600
+    assert got >= 0.99 * 600
 
 
 def test_near_vectors_awkward(spark):
