@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, width: int, bands: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """rep (hash of the set's digest), size, set (sorted 64-bit shingle hashes as binary)."""
+    """docs: id, text -> id, rep (hash of the set's digest), size, set (sorted 64-bit shingle hashes as binary)."""
 
     def run(batches):
         for batch in batches:
@@ -101,9 +101,9 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
             for i, j in spans_of(offsets, CHUNK):
                 flat, at = shingles(a[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 sets = [np.unique(flat[at[k] : at[k + 1]]) for k in range(j - i)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_digests(sets), pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "size", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_digests(sets), pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "key", "size", "set"])
 
-    return docs.mapInArrow(run, "key binary, size long, set binary").select(F.xxhash64("key").alias("rep"), "size", "set")
+    return docs.mapInArrow(run, "id long, key binary, size long, set binary").select("id", F.xxhash64("key").alias("rep"), "size", "set")
 
 
 def set_keys(text, width: int):
@@ -195,15 +195,21 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.save(signatures(src, width, bands), "signatures")
     usable = signed.where("id is not null and key is not null")
-    classes = scratch.save(usable.groupBy("key").agg(F.min("id").alias("least_id")).withColumn("rep", F.xxhash64("key")), "classes")
-    lead = classes.select(F.col("least_id").alias("id"), "key", "rep").join(usable.select("id", "key", "bands"), ["id", "key"]).dropDuplicates(["rep"])
-    spread = lead.select("rep", F.explode("bands").alias("hash"))
+    # rows of one key have one set, so their bands are the same
+    classes = scratch.save(usable.groupBy("key").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands")).withColumn("rep", F.xxhash64("key")), "classes")
+    spread = classes.select("rep", F.explode("bands").alias("hash"))
     buckets = spread.groupBy("hash").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("hash", "lead")
-    members = scratch.save(spread.join(buckets, "hash").select("lead", "rep").distinct(), "members")
-    wanted = scratch.save(classes.join(members.select("rep").distinct(), "rep", "left_semi").select(F.col("least_id").alias("id")).distinct(), "wanted")
-    if wanted.count() <= small_ids:
-        wanted = F.broadcast(wanted)
-    sets = scratch.save(full_sets(src.join(wanted, "id", "left_semi").select("id", "text"), width).dropDuplicates(["rep"]), "sets")
+    members = scratch.save(spread.join(scratch.save(buckets, "buckets"), "hash").select("lead", "rep").distinct(), "members")
+    wanted = scratch.save(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least_id").alias("id")), "wanted")
+    # an id that one row has leads one class with it; the sets of ids that repeat are told apart by their class
+    again = scratch.save(usable.groupBy("id").count().where("count > 1").select("id"), "again")
+    alone, several = wanted.join(again, "id", "left_anti").select("id"), wanted.join(again, "id", "left_semi")
+    few = F.broadcast if wanted.count() <= small_ids else lambda x: x
+    sets = full_sets(src.join(few(alone), "id", "left_semi").select("id", "text"), width).select("rep", "size", "set")
+    if not again.isEmpty():
+        own = full_sets(src.join(few(several.select("id").distinct()), "id", "left_semi").select("id", "text"), width)
+        sets = sets.unionByName(own.join(several, ["id", "rep"], "left_semi").dropDuplicates(["rep"]).select("rep", "size", "set"))
+    sets = scratch.save(sets, "sets")
     sized = members.join(sets.select("rep", "size"), "rep")
     parts_of = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("s") / (block * 4096))).cast("int")
     hot = scratch.save(sized.groupBy("lead").agg(F.count("*").alias("n"), F.sum("size").alias("s")).withColumn("parts", parts_of).where("parts > 1").select("lead", "n", "parts"), "hot")
