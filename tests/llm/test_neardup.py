@@ -84,6 +84,18 @@ def test_one_of_each_keeps_one_row_of_every_group(spark, awkward):
     assert sorted((r.doc_id or -1) for r in left.collect()) == [-1, 1, 2, 3, 4, 6, 7]
 
 
+def test_groups_inside_another_are_left_out(spark):
+    rows = [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 3), (2, 4), (3, 3), (3, 4), (4, 4), (4, 5), (6, 6), (6, 7), (7, 7), (7, 8)]
+    left = {tuple(r) for r in neardup.without_subsets(spark.createDataFrame(rows, "lead long, rep long")).collect()}
+    assert left == {(1, 1), (1, 2), (1, 3), (1, 4), (4, 4), (4, 5), (6, 6), (6, 7), (7, 7), (7, 8)}
+    rng = random.Random(4)
+    groups = [sorted(rng.sample(range(30), rng.randrange(2, 9))) for _ in range(60)]
+    rows = {(min(g), x) for g in groups for x in g}
+    pairs = lambda rows: {(x, y) for a, x in rows for b, y in rows if a == b and x < y}
+    left = {tuple(r) for r in neardup.without_subsets(spark.createDataFrame(list(rows), "lead long, rep long")).collect()}
+    assert left <= rows and pairs(left) == pairs(rows)
+
+
 def test_linked_sets_equal_counting():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]

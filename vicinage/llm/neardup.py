@@ -200,6 +200,7 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
     spread = classes.select("rep", F.explode("bands").alias("hash"))
     buckets = spread.groupBy("hash").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1").select("hash", "lead")
     members = scratch.save(spread.join(scratch.save(buckets, "buckets"), "hash").select("lead", "rep").distinct(), "members")
+    members = scratch.save(without_subsets(members), "groups")
     wanted = scratch.save(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("least_id").alias("id")), "wanted")
     # an id that one row has leads one class with it; the sets of ids that repeat are told apart by their class
     again = scratch.save(usable.groupBy("id").count().where("count > 1").select("id"), "again")
@@ -266,6 +267,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     return left.join(few(again), key, "left_anti").unionByName(once)
 
 
+def without_subsets(members: DataFrame) -> DataFrame:
+    """members (lead, rep) without the groups that lie wholly in the group of the least lead their own lead is in.
+
+    Near copies that miss the least one in some band make a smaller group in it; every pair of such a group meets in
+    the larger one. Leads only get less on the way up, so the last group of a chain stays.
+    """
+    above = members.where("lead <> rep").groupBy(F.col("rep").alias("lead")).agg(F.min("lead").alias("above"))
+    inner = members.join(above, "lead")
+    outer = members.select(F.col("lead").alias("above"), "rep", F.lit(1).alias("there"))
+    held = inner.join(outer, ["above", "rep"], "left").groupBy("lead").agg(F.count("*").alias("n"), F.count("there").alias("there"))
+    return members.join(held.where("n = there").select("lead"), "lead", "left_anti")
+
+
 def leftovers(scratch: Scratch, large: DataFrame, parts: DataFrame, block: int) -> DataFrame:
     """Members of large groups dealt to pairs of blocks that may still hold unlinked pairs: g1, g2, g3, rep.
 
