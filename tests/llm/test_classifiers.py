@@ -197,3 +197,13 @@ def test_training_sample_is_bounded(spark, corpus):
     assert len(got) <= 200 and max(len(r.text) for r in got) <= 1 << 14
     one = toxicity.sample_of(again.where("doc_id = 11"), labels, "toxic", 10_000, 1 << 14, "doc_id", "text").collect()
     assert len(one) == 1 and not one[0].text.startswith("long")
+
+
+def test_very_long_text(spark, corpus):
+    """Texts of megabytes are scored whole: a toxic word at the very end counts, and statistics are those of all words."""
+    _, labels = corpus
+    docs = corpus[0].unionByName(spark.createDataFrame([(90_001, "one two three. " * 150_000, "en", "s"), (90_002, "one two three. " * 150_000 + "grumph blarg grumphy blarger", "en", "s")], corpus[0].schema))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(spark, docs, labels).where("doc_id > 90000").collect()}
+    assert got[90_001] < 0.5 <= got[90_002]
+    stats = {r.doc_id: r.stats for r in quality.statistics_table(docs.where("doc_id > 90000")).collect()}
+    assert np.isclose(stats[90_001][quality.STATS.index("log_words")], np.log1p(450_000)) and np.isclose(stats[90_001][quality.STATS.index("distinct")], 3 / 450_000)

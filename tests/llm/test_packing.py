@@ -132,3 +132,19 @@ def test_words_that_polynomial_hashes_confuse(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     for r in packing.pack_documents(spark, docs, PATH).collect():
         assert r.ids_crc32 == zlib.crc32(tokens(texts[r.doc_id])[r.start : r.start + r.length].tobytes())
+
+
+def test_very_long_text(spark):
+    """A text of 2 MB among short ones: every piece has the library's ids, pieces follow each other without a gap."""
+    rng = np.random.default_rng(3)
+    words = np.array(["lorem", "ipsum", "Straße", "été", "x", "2048", "don't", "\n\n", "  ", "¿qué?"])
+    texts = [" ".join(rng.choice(words, 400_000).tolist()), "short", "z" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack_documents(spark, docs, PATH).collect()
+    check(rows, 2048)
+    for i, text in enumerate(texts):
+        ids, at = tokens(text), 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
