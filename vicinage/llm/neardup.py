@@ -179,8 +179,9 @@ def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a set holds the distinct ``width``-word shingles, or the
     whole sequence of a shorter text. A null, empty or blank text has an empty set and links with nothing; so has a
     null id, whose component is null and which is kept. Rows of equal sets are one class; rows that repeat an id with
-    another text are of a class, and maybe of a component, of their own. Each row is given. Ids are whole numbers; other columns are not read. The candidate
-    ids are broadcast only up to ``small_ids`` of them (16 MB); beyond it the texts are joined by id.
+    another text are of a class, and maybe of a component, of their own. Each row is given. Ids are whole numbers; other
+    columns are not read. Candidate ids, and the groups they are in, are broadcast only up to ``small_ids`` rows of them
+    (16 MB, 64 MB); beyond it texts are joined by id and sets by class.
     """
     found = labelled(spark, docs, id_col, text_col, width, percent, bands, block, pivots, small_ids)
     return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -205,10 +206,11 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
     # an id that one row has leads one class with it; the sets of ids that repeat are told apart by their class
     again = scratch.save(usable.groupBy("id").count().where("count > 1").select("id"), "again")
     alone, several = wanted.join(again, "id", "left_anti").select("id"), wanted.join(again, "id", "left_semi")
-    few = F.broadcast if wanted.count() <= small_ids else lambda x: x
-    sets = full_sets(src.join(few(alone), "id", "left_semi").select("id", "text"), width).select("rep", "size", "set")
+    few = lambda x, n: F.broadcast(x) if n <= small_ids else x
+    ids = wanted.count()
+    sets = full_sets(src.join(few(alone, ids), "id", "left_semi").select("id", "text"), width).select("rep", "size", "set")
     if not again.isEmpty():
-        own = full_sets(src.join(few(several.select("id").distinct()), "id", "left_semi").select("id", "text"), width)
+        own = full_sets(src.join(few(several.select("id").distinct(), ids), "id", "left_semi").select("id", "text"), width)
         sets = sets.unionByName(own.join(several, ["id", "rep"], "left_semi").dropDuplicates(["rep"]).select("rep", "size", "set"))
     sets = scratch.save(sets, "sets")
     sized = members.join(sets.select("rep", "size"), "rep")
@@ -223,8 +225,8 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
         dealt = dealt.select("lead", "rep", F.col("own").cast("long")).unionByName(pivot.select("lead", "rep", F.col("own").cast("long"))).distinct()
     else:
         dealt = dealt.withColumn("own", F.lit(0).cast("long"))
-    keyed = dealt.select(F.col("lead").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("own").alias("g3"), "rep")
-    edges = scratch.save(confirm(keyed.join(sets, "rep"), percent), "edges")
+    keyed = scratch.save(dealt.select(F.col("lead").alias("g1"), F.lit(0).cast("long").alias("g2"), F.col("own").alias("g3"), "rep"), "keyed")
+    edges = scratch.save(confirm(sets.join(few(keyed, keyed.count()), "rep"), percent), "edges")
     parts = connected_components(scratch, edges, "rep", "least")
     if any_hot:
         rest = leftovers(scratch, large, parts, block)
@@ -233,7 +235,7 @@ def labelled(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, w
             known = parts.where("id <> component").select(F.col("id").alias("rep"), F.col("component").alias("least"))
             parts = connected_components(scratch, known.unionByName(more), "rep", "least")
         scratch.drop(more)
-    scratch.drop(members, sets, hot, edges)
+    scratch.drop(members, keyed, sets, hot, edges)
     linked = scratch.save(classes.select("rep", "least_id").join(parts.withColumnRenamed("id", "rep"), "rep"), "linked")
     least = scratch.save(linked.groupBy("component").agg(F.min("least_id").alias("component_id")), "least")
     grouped = classes.join(linked.join(least, "component").select("rep", "component", "component_id"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "least_id").alias("component_id"))
